@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import substring_dedup
 from .near_dup import op3_near_duplicates
+from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_substring_dedup": substring_dedup.SQL,
+}
