@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, substring_dedup
+from .decontaminate import op1_decontaminate
 from .near_dup import op3_near_duplicates
 from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
 }
