@@ -65,22 +65,19 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, index of each text's first word (n + 1), byte start and end of each word)."""
-    data, off = buffers(texts)
-    table = _BYTE_LOWER if lower else _BYTE
+def run_hashes(data: np.ndarray, off: np.ndarray, separators: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each maximal run of bytes that are no separators; texts' borders end runs."""
     hashes, begins, ends = [], [], []
     lo = 0
     while lo < len(data):
         hi = min(lo + PIECE, len(data))
-        while hi < len(data) and not _SEP[data[hi]]:  # never cut inside a word
-            more = np.flatnonzero(_SEP[data[hi : hi + 4096]])
+        while hi < len(data) and not separators[hi]:  # never cut inside a run
+            more = np.flatnonzero(separators[hi : hi + 4096])
             hi = hi + int(more[0]) if len(more) else min(hi + 4096, len(data))
         part = data[lo:hi]
-        word = ~_SEP[part]
+        word = ~separators[lo:hi]
         cut = np.zeros(len(part) + 1, bool)
-        inside = off[np.searchsorted(off, lo) : np.searchsorted(off, hi, "right")] - lo
-        cut[inside] = True
+        cut[off[np.searchsorted(off, lo) : np.searchsorted(off, hi, "right")] - lo] = True
         first = word.copy()
         first[1:] &= ~word[:-1] | cut[1:-1]
         last = word.copy()
@@ -90,16 +87,20 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
             power, inverse = _power_tables(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(table[part] * power[: len(part)], out=total[1:])
-            h = (total[end] - total[start]) * inverse[start]
-            hashes.append(mix(h + (end - start).astype(np.uint64)))
+            hashes.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
             begins.append(start + lo)
             ends.append(end + lo)
         lo = hi
     if not hashes:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), none, none
-    begin = np.concatenate(begins)
-    return np.concatenate(hashes), np.searchsorted(begin, off), begin, np.concatenate(ends)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(begins), np.concatenate(ends)
+
+
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, index of each text's first word (n + 1), byte start and end of each word)."""
+    data, off = buffers(texts)
+    hashes, begin, end = run_hashes(data, off, _SEP[data], _BYTE_LOWER if lower else _BYTE)
+    return hashes, np.searchsorted(begin, off), begin, end
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -124,13 +125,19 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE, lower: bool = True) -> Itera
     grams = gram_hashes(words, k)
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            yield distinct(grams[a : b - k + 1])
         elif b > a:
             yield short_shingle(words[a:b])
         else:
             yield np.zeros(0, np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def short_shingle(words: np.ndarray) -> np.ndarray:
     """The one shingle of a text with fewer words than a shingle has."""
     n = len(words)

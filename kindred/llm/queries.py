@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from . import decontaminate, substring_dedup
 from .decontaminate import op1_decontaminate
+from .language_id import op6_language_id
 from .near_dup import op3_near_duplicates
 from .substring_dedup import op7_substring_dedup
+from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
