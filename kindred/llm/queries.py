@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import chat_format, decontaminate, substring_dedup
+from .chat_format import op8_chat_format
 from .decontaminate import op1_decontaminate
 from .language_id import op6_language_id
+from .mixing import op5_mix_sources
 from .near_dup import op3_near_duplicates
 from .substring_dedup import op7_substring_dedup
 from .token_counts import op10_token_counts
@@ -12,12 +14,15 @@ from .token_counts import op10_token_counts
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_chat_format": op8_chat_format,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op8_chat_format": chat_format.SQL,
 }
