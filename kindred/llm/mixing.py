@@ -8,7 +8,7 @@ A document's expected copies are target / source size: the whole part is certain
 pivotal method (Deville and Tillé, 1998): two units' probabilities meet, mass moves at random to one of them
 until one is 0 or 1, and the other goes on with what remains. Expectations hold exactly, and of n units with one
 probability p, as many as n p are taken, up to one. Pairs meet in a reduction tree: each source's
-documents are hashed into groups of about ``FAN``, each is folded in order of size (so alike documents compete
+documents are hashed into groups of about ``FAN``, each is folded from the longest down (so alike documents compete, the last one is short,
 and words stay near the target), and the one unfinished unit of each group goes to the next level, until one is
 left for each source. A source of any size is spread over many groups, and a group stays small.
 
@@ -89,7 +89,7 @@ def _level(units: DataFrame, level: int) -> DataFrame:
     """One level of the tree: units (source, source_size, target, groups, doc_id, size, p, copy) in groups of about FAN."""
     group = F.pmod(F.xxhash64(F.lit(SEED + level), "doc_id", "copy"), F.col("groups"))
     unit = F.struct("size", "doc_id", "copy", "p")
-    grouped = units.groupBy("source", "source_size", "target", "groups", group.alias("g")).agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    grouped = units.groupBy("source", "source_size", "target", "groups", group.alias("g")).agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
     ordered = F.transform("units", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["p"].alias("p"), x["copy"].alias("copy")))
     return grouped.select("source", "source_size", "target", "groups", _fold(ordered, level).alias("f"))
 

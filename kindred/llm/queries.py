@@ -8,12 +8,14 @@ from .decontaminate import op1_decontaminate
 from .language_id import op6_language_id
 from .mixing import op5_mix_sources
 from .near_dup import op3_near_duplicates
+from .neighbours import op4_nearest_neighbours
 from .substring_dedup import op7_substring_dedup
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
