@@ -12,6 +12,7 @@ from .near_dup import op3_near_duplicates
 from .neighbours import op4_nearest_neighbours
 from .substring_dedup import op7_substring_dedup
 from .token_counts import op10_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
