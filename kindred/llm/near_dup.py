@@ -8,10 +8,11 @@
 3. In each bucket (a band key that two representatives share), every member is paired with the
    bucket's smallest member. Pairs whose sketches rule the threshold out are dropped (a pair at the
    threshold has a chance below 1e-6 of that); the others are decided on the full sets.
-4. Links give components. Buckets whose members fall into one component are settled: no further pair of
-   theirs could change a component. In the others, pairs of members of different components
-   that pass the sketch are decided on their full sets too. So every pair that shares a band and isn't
-   joined already is decided, without all pairs of a group of copies.
+4. Links give components. Documents that buckets connect form a group; a group within one component is
+   settled: no further pair could change a component. The members of the others are compared on full sets,
+   block against block of ``BLOCK`` members, and each pair of blocks returns a forest of the
+   links that join components, at most a row for each document. So every pair that shares a band is decided or already
+   joined, and no step emits all pairs of a group.
 
 At a similarity of 0.75 a pair shares none of the 32 bands with a chance of 5e-6.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ SKETCH_BITS = 512
 PERCENT = 75
 #: Estimates this much below the threshold are ruled out: over five standard errors of 128 samples.
 SLACK = 0.22
+#: Documents of a group that are compared with as many others in one task.
+BLOCK = 100
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,10 +133,15 @@ def _confirm(percent: int):
     return run
 
 
+def _sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(doc_id, s): full sets of the documents that the filter passes."""
+    return stage(docs.select("doc_id", "text", hash_bit("doc_id").alias("bit")).mapInArrow(_sets_of(bitmap), "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets confirm; only texts of paired documents are shingled again."""
     bitmap = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("i")), "i")
-    sets = stage(docs.select("doc_id", "text", hash_bit("doc_id").alias("bit")).mapInArrow(_sets_of(bitmap), "doc_id long, s binary").dropDuplicates(["doc_id"]), "sets")
+    sets = _sets(docs, bitmap)
     left = sets.select(F.col("doc_id").alias("a_"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b_"), F.col("s").alias("sb"))
     joined = pairs.hint("merge").join(left.hint("merge"), pairs.a == left.a_).select("a", "b", "sa").hint("merge").join(right.hint("merge"), F.col("b") == right.b_).select("a", "b", "sa", "sb")
@@ -157,16 +166,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = inside.filter("center < doc_id").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
     limit = most_differing(percent)
     sketches = reps.select("doc_id", F.col("n_shingles").alias("n"), *SKETCH).dropDuplicates(["doc_id"])
+    stars = stage(stars, "stars")
     if not stars.limit(1).count():
         links = stars
         labels = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
     else:
-        pairs = stage(_sketched(stage(stars, "stars"), stage(sketches, "sketches"), limit, percent), "pairs")
+        pairs = stage(_sketched(stars, stage(sketches, "sketches"), limit, percent), "pairs")
         links = _verified(pairs, docs, percent)
         labels = components(links)
-        again = stage(_across(inside, labels, sketches, limit, percent), "across")
-        if again.limit(1).count():
-            more = _verified(again, docs, percent)
+        more = _settle(stars, labels, docs, percent)
+        if more is not None:
             labels = components(links.union(more))
     label = labels.select(F.col("node").alias("rep"), "label")
     one = member.select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -203,17 +212,62 @@ def _sketched(stars: DataFrame, sketches: DataFrame, limit: int, percent: int) -
     return joined.filter(_sized("xn", "yn", percent) & (_differing("x", "y") <= limit)).select("a", "b")
 
 
-def _across(inside: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Pairs of members of a bucket whose components differ and whose sketches are near enough."""
-    whole = inside.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("c"))
-    whole = stage(whole, "labelled")
-    unsettled = stage(whole.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "unsettled")
-    rest = whole.hint("merge").join(unsettled.hint("merge"), "key").join(sketches, "doc_id")
-    rest = stage(rest, "rest")
-    x = rest.select("key", F.col("doc_id").alias("a"), F.col("c").alias("xc"), F.col("n").alias("xn"), *(F.col(k).alias("x" + k) for k in SKETCH))
-    y = rest.select("key", F.col("doc_id").alias("b"), F.col("c").alias("yc"), F.col("n").alias("yn"), *(F.col(k).alias("y" + k) for k in SKETCH))
-    near = x.hint("merge").join(y.hint("merge"), (x.key == y.key) & (x.a < y.b) & (F.col("xc") != F.col("yc")) & _sized("xn", "yn", percent) & (_differing("x", "y") <= limit))
-    return near.select("a", "b").distinct()
+def _settle(stars: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """Links across the components of each group of documents that bands connect; None if none has two components."""
+    groups = components(stars).select(F.col("node").alias("doc"), F.col("label").alias("g"))
+    state = stage(groups.hint("merge").join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select("doc", "g", F.coalesce("label", "doc").alias("c")), "state")
+    open_groups = stage(state.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("g", "n"), "open")
+    members = stage(state.hint("merge").join(open_groups.hint("merge"), "g").select("doc", "g", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open_members")
+    if not members.limit(1).count():
+        return None
+    sets = _sets(docs, id_filter(members, "doc"))
+    full = members.hint("merge").join(sets.hint("merge"), F.col("doc") == F.col("doc_id"))
+    block = F.pmod(F.xxhash64("doc", F.lit(5)), F.col("blocks")).cast("int")
+    cells = full.select("doc", "g", "c", "s", block.alias("k"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    cells = cells.select("doc", "g", "c", "s", "k", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"))
+    return stage(cells.groupBy("g", "i", "j").applyInPandas(_links_of_cell(percent), "a long, b long"), "settled")
+
+
+def _links_of_cell(percent: int):
+    """Links of two blocks of a group (or inside one) that join components, as a forest: at most a row for each document."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("doc", ignore_index=True)
+        k, doc, sets = cell["k"].to_numpy(), cell["doc"].tolist(), [np.frombuffer(s, np.uint64) for s in cell["s"]]
+        within = cell["i"].iloc[0] == cell["j"].iloc[0]
+        size = np.array([len(s) for s in sets])
+        n = len(sets)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(n), size)
+        order = np.argsort(column, kind="stable")
+        posted, first = owner[order], np.append(0, np.cumsum(np.bincount(column)))
+        parent = {c: c for c in cell["c"]}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        labels, out = cell["c"].tolist(), []
+        ends = np.append(0, np.cumsum(size))
+        for a in range(n):
+            mine = column[ends[a] : ends[a + 1]]
+            times = first[mine + 1] - first[mine]
+            at = np.repeat(first[mine], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            common = np.bincount(posted[at], minlength=n)
+            linked = 100 * common >= percent * (size[a] + size - common)
+            linked[: a + 1] = False
+            if not within:
+                linked &= k != k[a]
+            for b in np.flatnonzero(linked).tolist():
+                p, q = root(labels[a]), root(labels[b])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((doc[a], doc[b]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
