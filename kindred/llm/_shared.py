@@ -86,10 +86,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Joins that meet a hot node are plain sort-merge joins of two exchanged tables, so that
     adaptive execution may split them; the aggregates combine before they shuffle.
     """
-    both = stage(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))),
-        "links",
-    )
+    edges = stage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), "edges")
+    # one link for each larger end, to the smallest it has, and links among its smaller ends: fewer, and as connected
+    least = stage(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
+    among = edges.hint("merge").join(least.hint("merge"), "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a < b").distinct()
+    fewer = stage(least.select(F.col("m").alias("a"), "b").union(among), "fewer")
+    both = stage(fewer.select(F.col("a").alias("u"), F.col("b").alias("v")).union(fewer.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
+    unstage(edges, least, fewer)
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.hint("merge").join(labels.hint("merge"), both.u == labels.node).groupBy(F.col("v").alias("n")).agg(F.min("label").alias("m"))
@@ -102,5 +105,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             break
     unstage(both)
-    out = labels.select("node", "label")
-    return out
+    return labels.select("node", "label")
