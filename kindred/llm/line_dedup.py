@@ -29,6 +29,8 @@ MIN_DOCS = 10
 #: The least share of constant positions, in percent.
 CONSTANT = 60
 _VARIABLE = np.uint64(0x2A2A2A2A2A2A2A2B)
+#: Names of columns that stand beside those of the input.
+BIT, _LOST, _DOC = "_kindred_bit", "_kindred_lost", "_kindred_doc"
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
@@ -142,37 +144,38 @@ def without_lines(text: str, lost: set[int]) -> tuple[str, int]:
 def _rewrite(batches):
     for batch in batches:
         texts, dropped = [], []
-        for text, lost in zip(batch.column("text").to_pylist(), batch.column("lost").to_pylist(), strict=True):
+        for text, lost in zip(batch.column("text").to_pylist(), batch.column(_LOST).to_pylist(), strict=True):
             kept, n = without_lines(text, set(lost)) if text and lost else (text, 0)
             texts.append(kept)
             dropped.append(n)
-        out = batch.drop_columns(["lost"])
+        out = batch.drop_columns([_LOST])
         at = out.schema.get_field_index("text")
         yield out.set_column(at, "text", pa.array(texts, pa.string())).append_column("n_dropped", pa.array(dropped, pa.int64()))
 
 
-def _pass(bitmap: np.ndarray, inside: bool):
+def passing(bitmap: np.ndarray, inside: bool):
     def run(batches):
         for batch in batches:
-            hit = passes(bitmap, batch.column("bit").fill_null(0).to_numpy()) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit if inside else ~hit)).drop_columns(["bit"])
+            hit = passes(bitmap, batch.column(BIT).to_numpy()) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit if inside else ~hit)).drop_columns([BIT])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs (all columns, with doc_id long and text) without recurring lines, and the number of lines dropped as n_dropped."""
+    """docs (all columns, with doc_id long and text) without recurring lines, and the number of lines dropped as n_dropped (in place of a column of that name)."""
     from pyspark.sql import types as T
 
     lost = stage(recurring_lines(docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"), min_docs), "lost")
     bitmap = id_filter(lost, "doc")
-    sets = lost.groupBy(F.col("doc").alias("lost_doc")).agg(F.collect_list("line").alias("lost"))
-    bitted = docs.withColumn("bit", hash_bit("doc_id"))
+    sets = lost.groupBy(F.col("doc").alias(_DOC)).agg(F.collect_list("line").alias(_LOST))
+    docs = docs.drop("n_dropped")
+    bitted = docs.withColumn(BIT, hash_bit("doc_id"))
     schema = T.StructType([*docs.schema.fields])
-    maybe = bitted.mapInArrow(_pass(bitmap, True), schema)
-    maybe = maybe.join(sets, maybe.doc_id == sets.lost_doc, "left").drop("lost_doc")
+    maybe = bitted.mapInArrow(passing(bitmap, True), schema)
+    maybe = maybe.join(sets, maybe.doc_id == sets[_DOC], "left").drop(_DOC)
     out = maybe.mapInArrow(_rewrite, T.StructType([*schema.fields, T.StructField("n_dropped", T.LongType())]))
-    return out.unionByName(bitted.mapInArrow(_pass(bitmap, False), schema).withColumn("n_dropped", F.lit(0).cast("long")))
+    return out.unionByName(bitted.mapInArrow(passing(bitmap, False), schema).withColumn("n_dropped", F.lit(0).cast("long")))
 
 
 def _digest(batches):

@@ -28,11 +28,11 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stage(near_dup.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")), "found")
     touched = found.filter("NOT kept OR rows > 1").select("doc_id", "kept")
     bitmap = id_filter(touched, "doc_id")
-    bitted = docs.withColumn("bit", hash_bit("doc_id"))
-    maybe = bitted.mapInArrow(line_dedup._pass(bitmap, True), docs.schema)
-    flags = touched.select(F.col("doc_id").alias("touched_id"), F.col("kept").alias("stays"))
-    maybe = maybe.join(flags, maybe.doc_id == flags.touched_id, "left").filter("stays IS NULL OR stays").drop("touched_id", "stays").dropDuplicates(["doc_id"])
-    return maybe.select(*docs.columns).unionByName(bitted.mapInArrow(line_dedup._pass(bitmap, False), docs.schema))
+    bitted = docs.withColumn(line_dedup.BIT, hash_bit("doc_id"))
+    maybe = bitted.mapInArrow(line_dedup.passing(bitmap, True), docs.schema)
+    flags = touched.select(F.col("doc_id").alias("_kindred_doc"), F.col("kept").alias("_kindred_kept"))
+    maybe = maybe.join(flags, maybe.doc_id == flags["_kindred_doc"], "left").filter("_kindred_kept IS NULL OR _kindred_kept").dropDuplicates(["doc_id"])
+    return maybe.select(*docs.columns).unionByName(bitted.mapInArrow(line_dedup.passing(bitmap, False), docs.schema))
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,13 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows alike in doc_id, source and size, each takes one of their numbers of copies, chosen by a hash of its text.
     """
-    rows = mixing.sized(docs)
+    added = ["size", "source_size", "target", "copies", "taken"]
+    columns = [c for c in docs.columns if c not in added]
+    rows = mixing.sized(docs.select(*columns))
     mixed = mixing.copies(stage(rows.select("doc_id", "source", "size"), "sizes"))
     of_key = mixed.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sort_array(F.collect_list("copies")).alias("numbers"))
-    key = of_key.select(F.col("doc_id").alias("k1"), F.col("source").alias("k2"), F.col("size").alias("k3"), "source_size", "target", "numbers")
-    joined = rows.join(key, rows.doc_id.eqNullSafe(key.k1) & rows.source.eqNullSafe(key.k2) & (rows["size"] == key.k3))
-    chosen = F.col("numbers")[F.pmod(F.xxhash64("text"), F.size("numbers")).cast("int")]
-    out = joined.withColumn("copies", chosen).filter("copies > 0")
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    key = of_key.select(F.col("doc_id").alias("_k1"), F.col("source").alias("_k2"), F.col("size").alias("_k3"), "source_size", "target", F.col("numbers").alias("_numbers"))
+    joined = rows.join(key, rows.doc_id.eqNullSafe(key["_k1"]) & rows.source.eqNullSafe(key["_k2"]) & (rows["size"] == key["_k3"]))
+    chosen = F.col("_numbers")[F.pmod(F.xxhash64("text"), F.size("_numbers")).cast("int")]
+    out = joined.withColumn("copies", chosen).filter("copies > 0").withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*columns, *added)
