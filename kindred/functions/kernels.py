@@ -116,9 +116,12 @@ def signature_bound(threshold: float, dimensions: int) -> int:
 
 
 def duration_tolerance(duration: Column, percent: float, least: float, most: float) -> Column:
-    if percent == 0:
-        return F.lit(float(max(least, most)))
-    return F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), duration * (percent / 100.0)))
+    """Seconds that durations may differ: a share within bounds (0: no bound); at 0 percent the larger bound."""
+    if percent <= 0:
+        return F.lit(float(max(least, most, 0)))
+    t = duration * (percent / 100.0)
+    t = F.greatest(F.lit(float(least)), t) if least > 0 else t
+    return F.least(F.lit(float(most)), t) if most > 0 else t
 
 
 def folder_suffix(path: Column, depth: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.functions import audio, kernels as K
+from kindred.functions import audio, display, kernels as K
 from kindred.functions.expression import compile_expression
 from kindred.operators import grouping, pairs, results, scope, selection
 from kindred.sources import cache, media
@@ -580,3 +580,57 @@ def stream_select(spark, d):
     run = rows.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+# Display
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN (o_orderkey * 978 + 1) >= 1048576 THEN printf('%.1f MB', (o_orderkey * 978 + 1) / 1048576.0) WHEN (o_orderkey * 978 + 1) >= 1024 THEN printf('%.1f KB', (o_orderkey * 978 + 1) / 1024.0)
+ELSE printf('%.1f B', ((o_orderkey * 978 + 1))::DOUBLE) END AS bytes,
+CASE WHEN o_orderkey >= 3600 THEN printf('%d:%02d:%02d', o_orderkey // 3600, o_orderkey // 60 % 60, o_orderkey % 60) ELSE printf('%d:%02d', o_orderkey // 60 % 60, o_orderkey % 60) END AS clock FROM orders""")
+def display_labels(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select(k.alias("id"), display.bytes_label(k * 978 + 1).alias("bytes"), display.clock(k).alias("clock"))
+
+
+@query("""SELECT doc_id AS id, CASE lower(lang) WHEN 'und' THEN '' ELSE upper(lang) END AS language, CASE WHEN n_chars / 60.0 < 5 THEN 5.0 WHEN n_chars / 60.0 <= 15 THEN n_chars / 60.0
+ELSE greatest(15.0, n_chars / 400.0) END::DOUBLE AS interval FROM documents WHERE lang IS NOT NULL""")
+def language_display(spark, d):
+    rows = read(spark, d, "documents").filter("lang IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("id"), display.display_language(F.col("lang")).alias("language"), display.dense_interval(F.col("n_chars").cast("double")).alias("interval"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS a, l_linenumber AS n, l_partkey AS p, CAST(l_quantity AS DOUBLE) AS clip, CAST(l_quantity + l_linenumber AS DOUBLE) AS source, CAST(l_linenumber AS DOUBLE) AS o FROM lineitem),
+w AS (SELECT *, least(clip, source - o) AS win FROM c), t AS (SELECT *, CASE WHEN win >= 9 THEN [0.25::DOUBLE, 0.5, 0.75] WHEN win >= 3 THEN [0.33::DOUBLE, 0.66] WHEN win > 0 THEN [0.5::DOUBLE] ELSE [] END AS s FROM w)
+SELECT a, n, p, list_transform(list_filter(list_transform(s, lambda x: x * win), lambda x: x < clip - 0.1 AND o + x < source - 0.1), lambda x: round(x, 4)) AS times FROM t""")
+def visual_times(spark, d):
+    q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    times = display.visual_sample_times(q + n, q, F.lit(0), n)
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.transform(times, lambda t: F.round(t, 4)).alias("times"))
+
+
+@query("""WITH e AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'Decoder not found' WHEN 1 THEN 'x: Permission denied' WHEN 2 THEN 'MOOV atom not found' WHEN 3 THEN 'Device creation failed; no decoder for it'
+WHEN 4 THEN 'Generic error in an external library' END AS m FROM events)
+SELECT id, CASE id % 6 WHEN 0 THEN 'codec' WHEN 1 THEN 'access' WHEN 2 THEN 'corrupt' WHEN 3 THEN 'hw' WHEN 4 THEN 'hw' ELSE 'unknown' END AS class FROM e""")
+def error_classes(spark, d):
+    message = F.expr("element_at(array('Decoder not found', 'x: Permission denied', 'MOOV atom not found', 'Device creation failed; no decoder for it', 'Generic error in an external library', NULL), CAST(event_id % 6 AS INT) + 1)")
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), display.error_class(message).alias("class"))
+
+
+@query(f"""{G}, p AS (SELECT *, lead(frame_size) OVER w AS f, lead(size) OVER w AS s, lead(bit_rate) OVER w AS b FROM g WINDOW w AS (PARTITION BY group_id ORDER BY idx))
+SELECT group_id, idx, CASE WHEN f IS NULL OR frame_size = f THEN 'neutral' WHEN frame_size > f THEN 'better' ELSE 'worse' END AS resolution, CASE WHEN s IS NULL OR size = s THEN 'neutral' WHEN size > s THEN 'better' ELSE 'worse' END AS size_chip,
+CASE WHEN b IS NULL OR bit_rate = b THEN 'neutral' WHEN bit_rate > b THEN 'better' ELSE 'worse' END AS rate FROM p""")
+def comparer_chips(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("group_id").orderBy("idx")
+    chip = lambda c: display.judge(F.col(c), F.lead(c).over(w))
+    return members(spark, d).select("group_id", "idx", chip("frame_size").alias("resolution"), chip("size").alias("size_chip"), chip("bit_rate").alias("rate"))
+
+
+@query(f"""{G}, r AS (SELECT *, contains(lower(path), 'high') AS hit, max(similarity) OVER (PARTITION BY group_id) AS top FROM g) SELECT group_id, idx FROM r WHERE hit AND top >= 90""")
+def result_filter(spark, d):
+    from pyspark.sql import Window as W
+
+    m = members(spark, d).withColumn("top", F.max("similarity").over(W.partitionBy("group_id")))
+    return m.filter(F.contains(F.lower("path"), F.lit("high")) & (F.col("top") >= 90)).select("group_id", "idx")
