@@ -4,7 +4,7 @@ A word (a run of letters, lower-cased) is the mean of the vectors of its charact
 itself, all hashed into ``BUCKETS`` rows; a text is the sum of its words' vectors over the square root of their number, so that a
 few words still tell in a long text. A softmax layer over two classes follows. Both layers are trained at once
 by Adam on the full batch of a bounded sample: at most about ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts, chosen by a hash of
-the id; words of fewer than ``MIN_TEXTS`` sampled texts teach nothing. Unseen misspellings share n-grams
+the id; words of fewer than ``MIN_TEXTS`` sampled texts and n-grams of fewer than ``MIN_GRAM_TEXTS`` (or of a share of ``MIN_GRAM_SHARE``) teach nothing. Unseen misspellings share n-grams
 with words that were seen. n-grams that were never trained have zero vectors.
 
 Scoring needs the product of both layers only, one number for each bucket; it is broadcast, and whole texts are
@@ -30,8 +30,10 @@ BUCKETS = 1 << 17
 DIMENSION = 8
 GRAMS = (3, 4, 5)
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
-MIN_TEXTS = 10
-EPOCHS, RATE, SCALE = 80, 0.02, 10.0
+MIN_TEXTS, MIN_GRAM_TEXTS = 2, 5
+#: The least share of the sampled texts that an n-gram must stand in.
+MIN_GRAM_SHARE = 0.009
+EPOCHS, RATE, SCALE, POWER = 60, 0.02, 10.0, 0.5
 #: Bytes of texts scored at once.
 SLICE = 1 << 18
 _PRIME = np.uint32(0x01000193)
@@ -90,7 +92,7 @@ class Model:
         words = Words([t or "" for t in texts])
         number = np.bincount(words.text, minlength=len(texts))
         total = np.bincount(words.text, weights=words.scores(self.weights), minlength=len(texts))
-        z = SCALE * total / np.sqrt(np.maximum(number, 1)) + self.offset
+        z = SCALE * total / np.maximum(number, 1) ** POWER + self.offset
         return np.where(number > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), self.base)
 
 
@@ -98,7 +100,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(texts: list[str], toxic: np.ndarray, min_texts: int = MIN_TEXTS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], toxic: np.ndarray, min_texts: int = MIN_TEXTS, epochs: int = EPOCHS, min_gram_texts: int = MIN_GRAM_TEXTS) -> tuple[np.ndarray, float]:
     """(the product of both layers by bucket, the offset) after joint training on texts and their labels (0 or 1)."""
     kept: dict[int, np.ndarray] = {}
     hashes, owners, length = [], [], np.zeros(len(texts))
@@ -131,20 +133,25 @@ def fit(texts: list[str], toxic: np.ndarray, min_texts: int = MIN_TEXTS, epochs:
         return np.zeros(BUCKETS, np.float32), 0.0
     parts = np.array([len(x) for x in lists])
     bucket, of_word = np.concatenate(lists), np.repeat(np.arange(len(lists)), parts)
-    used, bucket = np.unique(bucket, return_inverse=True)
-    first = np.append(0, np.cumsum(parts))[:-1]
-    incidence = times * (SCALE / np.sqrt(np.maximum(length, 1)))[owner].astype(np.float32)
+    # buckets of few texts' words stay untrained
+    often = np.bincount(bucket, weights=np.bincount(word, minlength=len(lists))[of_word], minlength=BUCKETS) >= max(min_gram_texts, MIN_GRAM_SHARE * len(texts))
+    some = often[bucket]
+    used, bucket, of_word = np.flatnonzero(often), (np.cumsum(often) - 1)[bucket[some]], of_word[some]
+    if not len(used):
+        return np.zeros(BUCKETS, np.float32), 0.0
+    trained, first = np.unique(of_word, return_index=True)
+    incidence = times * (SCALE / np.maximum(length, 1) ** POWER)[owner].astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(9))
     table, layer, offset = np.zeros((len(used), DIMENSION), np.float32), (rng.standard_normal(DIMENSION) * 0.5).astype(np.float32), 0.0
     moments = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(layer), np.zeros_like(layer)]
     y = toxic.astype(np.float64)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     for epoch in range(1, epochs + 1):
-        vectors = np.empty((len(lists), DIMENSION), np.float32)
-        for a in range(0, len(lists), 8192):
-            b = min(a + 8192, len(lists))
-            lo, hi = first[a], first[b] if b < len(lists) else len(bucket)
-            vectors[a:b] = np.add.reduceat(table[bucket[lo:hi]], first[a:b] - lo, axis=0)
+        vectors = np.zeros((len(lists), DIMENSION), np.float32)
+        for a in range(0, len(trained), 8192):
+            b = min(a + 8192, len(trained))
+            lo, hi = first[a], first[b] if b < len(trained) else len(bucket)
+            vectors[trained[a:b]] = np.add.reduceat(table[bucket[lo:hi]], first[a:b] - lo, axis=0)
         vectors /= parts[:, None].astype(np.float32)
         inside = np.column_stack([np.bincount(owner, weights=incidence * vectors[word, d], minlength=len(y)) for d in range(DIMENSION)])
         p = 1 / (1 + np.exp(-np.clip(inside @ layer + offset, -50, 50)))

@@ -180,10 +180,10 @@ def test_language_id(spark, odd_docs, odd_rows, no_docs):
 def test_toxicity_learns_and_generalises(spark, vocabulary, no_docs, odd_docs, odd_rows):
     rng = random.Random(7)
     rows, labels = [], []
-    for i in range(500):
+    for i in range(1500):
         w = [rng.choice(vocabulary) for _ in range(60)]
         bad = i % 4 == 0
-        for _ in range(3 * bad):
+        for _ in range(6 * bad):
             w[rng.randrange(60)] = rng.choice(["horridness", "vilestuff", "grumbledore"])
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
