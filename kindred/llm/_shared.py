@@ -14,6 +14,18 @@ FILTER_BITS = 1 << 23
 _BUCKET_BITS = 32768
 
 
+#: Bytes of an Arrow batch at most: batches of whole texts must fit beside the JVM's heap.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES where it is higher (it stays so: plans run later)."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: survives lost executors, cuts lineage."""
     spark = df.sparkSession
+    limit_batches(spark)
     path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -75,6 +88,7 @@ def passes(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

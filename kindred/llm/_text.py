@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; temporary arrays take about 30 times this.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of text that one slice of a batch holds at most (a single longer text is a slice of its own).
-SLICE = 2 << 20
+SLICE = 1 << 20
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import read
+from ._shared import limit_batches, read
 
 #: Rows to learn from for each language, at most (roughly: they are chosen by hash).
 TRAIN_ROWS = 4000
@@ -92,6 +92,7 @@ class Model:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model of the rows of docs (doc_id, text, lang) that are not held out."""
+    limit_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
