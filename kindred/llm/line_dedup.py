@@ -10,7 +10,7 @@ of at least ``MIN_DOCS`` documents recurs, and its lines are dropped from all do
 Lines end at line feeds. Lines of fewer than ``MIN_WORDS`` words are never dropped, nor is anything of a row with a null id.
 Rows that share an id are one document here: what is dropped from one is dropped from all. Null texts stay
 null and have no lines; kept lines stay as they are. Blank lines aren't counted. All aggregates combine before they
-shuffle; only documents that may lose lines are shuffled with their texts.
+shuffle; texts are shuffled once, to meet what they lose.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import FILTER_BITS, hash_bit, id_filter, passes, read, stage
+from ._shared import FILTER_BITS, passes, read, stage
 
 LEADING = 3
 MIN_WORDS = 3
@@ -167,15 +167,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     from pyspark.sql import types as T
 
     lost = stage(recurring_lines(docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"), min_docs), "lost")
-    bitmap = id_filter(lost, "doc")
     sets = lost.groupBy(F.col("doc").alias(_DOC)).agg(F.collect_list("line").alias(_LOST))
     docs = docs.drop("n_dropped")
-    bitted = docs.withColumn(BIT, hash_bit("doc_id"))
-    schema = T.StructType([*docs.schema.fields])
-    maybe = bitted.mapInArrow(passing(bitmap, True), schema)
-    maybe = maybe.join(sets, maybe.doc_id == sets[_DOC], "left").drop(_DOC)
-    out = maybe.mapInArrow(_rewrite, T.StructType([*schema.fields, T.StructField("n_dropped", T.LongType())]))
-    return out.unionByName(bitted.mapInArrow(passing(bitmap, False), schema).withColumn("n_dropped", F.lit(0).cast("long")))
+    known = docs.filter("doc_id IS NOT NULL")
+    joined = known.join(sets, known.doc_id == sets[_DOC], "left").drop(_DOC)
+    out = joined.mapInArrow(_rewrite, T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType())]))
+    return out.unionByName(docs.filter("doc_id IS NULL").withColumn("n_dropped", F.lit(0).cast("long")))
 
 
 def _digest(batches):
