@@ -29,7 +29,9 @@ K = 20
 DIMENSIONS = 6
 CONFIDENCE = 0.97
 BLOCK = 1024
-LEAF = 32
+LEAF = 64
+#: Leaves opened at once.
+STEP = 8
 #: Blocks whose best are merged at once.
 FAN = 64
 
@@ -80,9 +82,7 @@ class Index:
         rest = np.sqrt(np.maximum(self.norm2 - np.einsum("ij,ij->i", vectors, vectors), 0))
         self.axes = np.random.Generator(np.random.PCG64(4 + vectors.shape[1])).standard_normal((vectors.shape[1] + 1, DIMENSIONS))
         self.tree = KdTree(np.column_stack([vectors, rest]) @ self.axes)
-        order = np.concatenate(self.tree.leaves)
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.first = np.append(0, np.cumsum([len(r) for r in self.tree.leaves]))
+        self.names, self.parts = [ids[r] for r in self.tree.leaves], [vectors[r] for r in self.tree.leaves]
         self.bound = chi_square_bound()
         self.verified = 0
 
@@ -92,19 +92,20 @@ class Index:
         order = np.argsort(distance)
         fixed = float(q @ q) + self.norm2
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for a in range(0, len(order), step):
+        for a in range(0, len(order), STEP):
             if len(ids) == k and distance[order[a]] >= self.bound * max(fixed - 2 * scores[-1], 0):
                 break
-            rows = np.concatenate([np.arange(self.first[x], self.first[x + 1]) for x in order[a : a + step]])
-            s = self.vectors[rows] @ q
-            self.verified += len(rows)
-            i = self.ids[rows]
-            good = i != own
-            if len(ids) == k:
-                good &= s >= scores[-1]
-            if good.any():
-                ids, scores = np.concatenate([ids, i[good]]), np.concatenate([scores, s[good]])
+            opened = order[a : a + STEP].tolist()
+            s = np.concatenate([self.parts[x] @ q for x in opened])
+            self.verified += len(s)
+            least = scores[-1] if len(ids) == k else -np.inf
+            if len(s) > 2 * k:  # only the best of these can count; one more for the row itself
+                least = max(least, np.partition(s, len(s) - k - 1)[len(s) - k - 1])
+            good = np.flatnonzero(s >= least)
+            if len(good):
+                i, s = np.concatenate([self.names[x] for x in opened])[good], s[good]
+                other = i != own
+                ids, scores = np.concatenate([ids, i[other]]), np.concatenate([scores, s[other]])
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
         return ids, scores
