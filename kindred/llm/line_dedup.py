@@ -170,7 +170,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     sets = lost.groupBy(F.col("doc").alias(_DOC)).agg(F.collect_list("line").alias(_LOST))
     docs = docs.drop("n_dropped")
     known = docs.filter("doc_id IS NOT NULL")
-    joined = known.join(sets, known.doc_id == sets[_DOC], "left").drop(_DOC)
+    joined = known.hint("merge").join(sets.hint("merge"), known.doc_id == sets[_DOC], "left").drop(_DOC)
     out = joined.mapInArrow(_rewrite, T.StructType([*docs.schema.fields, T.StructField("n_dropped", T.LongType())]))
     return out.unionByName(docs.filter("doc_id IS NULL").withColumn("n_dropped", F.lit(0).cast("long")))
 
