@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -93,6 +95,35 @@ def phash(frames: pd.Series) -> pd.Series:
     return pd.Series(phash_bits(np.stack(frames.to_numpy()))) if len(frames) else pd.Series([], dtype="int64")
 
 
+#: Word hashes that a task keeps at once.
+_MOST_WORDS = 1 << 20
+
+
+def simhash_bits(texts: pd.Series) -> np.ndarray:
+    """64-bit simhashes of texts: a bit is set if more of the text's words have it in their hash than not."""
+    known: dict[str, bytes] = {}
+    out = np.zeros((len(texts), 64), np.uint8)
+    for row, text in enumerate(texts):
+        counts = Counter(text.split())
+        if not counts:
+            continue
+        if len(known) > _MOST_WORDS:
+            known.clear()
+        for w in counts:
+            if w not in known:
+                known[w] = hashlib.md5(w.encode()).digest()[:8]
+        hashes = np.frombuffer(b"".join(known[w] for w in counts), np.uint8).reshape(-1, 8)
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        out[row] = 2 * (n @ np.unpackbits(hashes, axis=1)) > n.sum()
+    return np.packbits(out, axis=1).view(">i8").astype(np.int64).ravel()
+
+
+@F.pandas_udf(T.LongType())
+def simhash(texts: pd.Series) -> pd.Series:
+    """64-bit simhash of all words of each text."""
+    return pd.Series(simhash_bits(texts), dtype="int64")
+
+
 def quantize(v: Column) -> Column:
     """A unit vector as int8 components: 127 times each, half-even, within ±127."""
     return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x.cast("double") * 127).cast("int"))))

@@ -97,8 +97,8 @@ def phash_quorum(spark, d):
 @query("""WITH h AS (SELECT doc_id AS id, CAST('0x' || substr(md5(substr(coalesce(text, ''), 1, 8)), 1, 8) AS BIGINT) AS h FROM documents)
 SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h)) AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 3""")
 def hamming_pairs(spark, d):
-    h = F.conv(F.substring(F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 8)), 1, 8), 16, 10).cast("long")
-    return pairs.hamming_pairs(read(spark, d, "documents").select(F.col("doc_id").alias("id"), h.alias("h")), 3).select("a", "b", F.col("distance").cast("byte").alias("distance"))
+    hashed = read(spark, d, "documents").select(F.col("doc_id").alias("id"), K.simhash(F.coalesce("text", F.lit(""))).alias("h"))
+    return pairs.hamming_pairs(hashed, 3).select("a", "b", F.col("distance").cast("byte").alias("distance"))
 
 
 # Gates
