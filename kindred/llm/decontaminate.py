@@ -1,16 +1,10 @@
-"""Operator 1: benchmark decontamination by size-partitioned MinHash containment search, verified exactly.
-
-A test item is short and a document may be long, so their Jaccard similarity can be tiny although the item
-is contained. As in LSH Ensemble (Zhu et al., 2016) the domains are partitioned by size and each
-partition gets the Jaccard threshold that its upper size bound u implies for a containment t and an item of q
-shingles: s = t q / (u + q - t q).
-
-* Domains are passages: a document's shingles in order are cut into blocks of S, and each two neighbouring blocks
-  are a passage, so whatever spans at most S shingles lies inside one passage. S comes from the item's size class
-  (powers of two); a document with fewer shingles is one smaller domain, and the smaller its power-of-two size
-  partition, the higher its threshold.
-* Each passage has ``SAMPLES`` MinHash values (block minima, joined in pairs). A passage is a candidate for an item if
-  their equal samples reach what threshold s makes likely, less ``SIGMAS`` standard deviations.
+"""Operator 1: benchmark decontamination by exact containment search with a prefix filter.
+
+A document contains an item of q shingles if it has at least t q of them, so it has at least one of any
+q - ceil(t q) + 1 of them. These are an item's probes: its rarest shingles within the block of items.
+
+* Every shingle of a text is looked up among the probes, wherever in the text it stands, so no item is too short
+  and no occurrence too scattered to become a candidate.
 * Candidates (document, item) are decided on full sets: |item and document| / |item| >= t, over the whole document.
 
 Items are spread to all tasks; their number and size are checked, and beyond ``MOST_ITEMS`` or ``MOST_BYTES``
@@ -34,85 +28,46 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._shared import read
 
-SAMPLES = 64
 THRESHOLD = 0.8
-SIGMAS = 4.0
 #: Bounds of one block of items.
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
-#: The smallest size class of items, in shingles.
-LEAST_CLASS = 32
-
-_rng = np.random.Generator(np.random.PCG64(31337))
-_A = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def jaccard_threshold(containment: float, item: int, bound: int) -> float:
-    """The least Jaccard similarity of an item of so many shingles that has this containment in a domain of at most bound shingles."""
-    return min(1.0, containment * item / (bound + item - containment * item))
-
-
-def least_equal(containment: float, item: int, bound: int) -> int:
-    """Equal samples that a candidate needs, at least one."""
-    s = jaccard_threshold(containment, item, bound)
-    return max(1, math.floor(SAMPLES * s - SIGMAS * math.sqrt(SAMPLES * s * (1 - s))))
-
-
-def size_class(n: int) -> int:
-    return max(LEAST_CLASS, 1 << (n - 1).bit_length())
+#: Bits of the filter that a text's shingles pass before they are searched among the probes.
+FILTER_BITS = 1 << 24
 
 
 class Items:
-    """A block of items: sets, samples by size class, and a lookup of their sample values."""
+    """A block of items: sets, and a lookup of their probes."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], containment: float):
-        self.ids, self.sets, self.containment = ids, sets, containment
-        self.classes = {}
-        for c in sorted({size_class(len(s)) for s in sets}):
-            members = [i for i, s in enumerate(sets) if size_class(len(s)) == c]
-            samples = np.array([(sets[i][:, None] * _A + _B).min(axis=0) for i in members])
-            order = np.argsort(samples, axis=0, kind="stable")
-            self.classes[c] = (np.array(members), np.take_along_axis(samples, order, axis=0), order)
+        self.ids, self.sets = ids, sets
+        size = np.array([len(s) for s in sets], np.int64)
+        grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, kind, often = np.unique(grams, return_inverse=True, return_counts=True)
+        order = np.lexsort((grams, often[kind], owner))
+        grams, owner = grams[order], owner[order]
+        # the least common count is taken as the verdict takes it, in floating point
+        need = np.array([next(c for c in range(max(0, math.floor(containment * n) - 1), n + 2) if c >= containment * n) for n in size.tolist()], np.int64)
+        rank = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+        probe = rank < np.repeat(size - np.maximum(need, 1) + 1, size)
+        order = np.argsort(grams[probe], kind="stable")
+        self.probes, self.owner = grams[probe][order], owner[probe][order]
+        self.filter = np.zeros(FILTER_BITS, bool)
+        self.filter[self.probes & np.uint64(FILTER_BITS - 1)] = True
 
     def candidates(self, grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) of texts whose shingles are grams[first : first + count]."""
         out: set[tuple[int, int]] = set()
-        has = np.flatnonzero(count)
-        if not len(has):
+        may = np.flatnonzero(self.filter[grams & np.uint64(FILTER_BITS - 1)])
+        lo, hi = np.searchsorted(self.probes, grams[may], "left"), np.searchsorted(self.probes, grams[may], "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
             return out
-        for block, (members, values, order) in self.classes.items():
-            blocks = -(-count[has] // block)
-            text = np.repeat(has, blocks)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            begin = first[text] + nth * block
-            end = np.minimum(begin + block, first[text] + count[text])
-            pair = np.append(text[1:] == text[:-1], False)
-            domain = np.where(pair, np.append(end[1:], 0), end) - begin  # shingles of each passage
-            bound = np.minimum(2 * block, 1 << np.ceil(np.log2(np.maximum(domain, 1))).astype(np.int64))
-            # a copy of the hash values with a border that no item has lets reduceat end each block
-            edges = np.stack([begin, end], axis=1).ravel()
-            equal: dict[int, int] = {}
-            padded = np.append(grams, _NONE)
-            rows, who = [], []
-            for j in range(SAMPLES):
-                lows = np.minimum.reduceat(padded * _A[j] + _B[j], edges)[::2]
-                lows[:-1] = np.where(pair[:-1], np.minimum(lows[:-1], lows[1:]), lows[:-1])
-                column = values[:, j]
-                lo, hi = np.searchsorted(column, lows, "left"), np.searchsorted(column, lows, "right")
-                hit = np.flatnonzero(hi > lo)
-                if len(hit):
-                    times = hi[hit] - lo[hit]
-                    at = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    rows.append(np.repeat(hit, times))
-                    who.append(order[at, j])
-            if not rows:
-                continue
-            keys, equal = np.unique(np.concatenate(rows) * len(members) + np.concatenate(who), return_counts=True)
-            for key, n in zip(keys.tolist(), equal.tolist(), strict=True):
-                passage, m = divmod(key, len(members))
-                if n >= least_equal(self.containment, len(self.sets[members[m]]), int(bound[passage])):
-                    out.add((int(text[passage]), int(members[m])))
+        at, lo, hi = may[hit], lo[hit], hi[hit]
+        for text in np.flatnonzero(count):
+            a, b = np.searchsorted(at, [first[text], first[text] + count[text]])
+            for x, y in {(int(x), int(y)) for x, y in zip(lo[a:b], hi[a:b], strict=True)}:
+                out.update((int(text), int(i)) for i in self.owner[x:y])
         return out
 
 

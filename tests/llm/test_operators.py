@@ -90,6 +90,26 @@ def test_decontamination_in_blocks(spark, odd_docs, odd_rows, monkeypatch):
     assert sorted(r.item_id for r in decontaminate.contaminated(odd_docs, items).collect()) == list(range(6))
 
 
+def test_decontamination_of_short_and_scattered_items(spark):
+    """Exact copies of items of a few words in long documents, and items whose shingles stand far apart in a document."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    rows, tests = [], []
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(900)]
+        short = [rng.choice(words) for _ in range(5 + i % 3)]
+        long = [rng.choice(words) for _ in range(36)]
+        parts = [long[8 * k : 8 * k + 12] for k in range(4)]  # 32 shingles, all of them in four places
+        for k, part in enumerate([short, *parts]):
+            w[150 * k + 60 : 150 * k + 60 + len(part)] = part
+        rows.append((i, " ".join(w)))
+        tests += [(2 * i, " ".join(short)), (2 * i + 1, " ".join(long))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_common for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == brute.contaminated(rows, tests) and len(got) == 120
+    assert decontaminate.without_contaminated(docs, items).count() == 0
+
+
 def test_line_dedup(odd_docs, odd_rows, no_docs):
     got = line_dedup.dedup_lines(odd_docs.select("doc_id", "text", "bit", "lost", "n_dropped"), 8).collect()
     expected = brute.line_dedup(known(odd_rows), 8)
