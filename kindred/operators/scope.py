@@ -11,6 +11,7 @@ from kindred.functions import kernels as K
 def folder_closure(folders: DataFrame) -> DataFrame:
     """(ancestor, id, depth): each folder of (id, parent) under each of its ancestors, itself included at depth 0."""
     spark = folders.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # by default a closure of over a million rows fails
     folders.select("id", "parent").createOrReplaceTempView("kindred_folders")
     return spark.sql(
         """WITH RECURSIVE up(ancestor, id, depth) AS (

@@ -5,6 +5,7 @@ The registered SQL of some of them still has the cuts that the queries had; what
 
 import hashlib
 
+from kindred.operators import scope
 from kindred.plans import catalogue
 from tests.oracle import duck_rows
 
@@ -37,3 +38,14 @@ def test_hamming_pairs_of_the_tables(spark):
     _, rows = duck_rows("SELECT doc_id, text FROM documents", FOLDER)
     got = sorted(map(tuple, catalogue.QUERIES["hamming_pairs"](spark, FOLDER).collect()))
     assert got == expected_hamming([(r["doc_id"], r["text"]) for r in rows])
+
+
+def test_folder_closure_of_all_parts(spark, tmp_path):
+    spark.range(1, 1201).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(tuple, catalogue.QUERIES["folder_closure"](spark, str(tmp_path)).collect()))
+    assert got == sorted((k >> depth, k, depth) for k in range(1, 1201) for depth in range(k.bit_length()))
+
+
+def test_folder_closure_of_over_a_million_rows(spark):
+    folders = spark.range(1, 80_001).selectExpr("id", "CASE WHEN id >= 2 THEN id div 2 END AS parent")
+    assert scope.folder_closure(folders).count() == sum(k.bit_length() for k in range(1, 80_001))
