@@ -4,6 +4,7 @@ The registered SQL of some of them still has the cuts that the queries had; what
 """
 
 import hashlib
+from collections import defaultdict
 
 from kindred.operators import scope
 from kindred.plans import catalogue
@@ -49,3 +50,14 @@ def test_folder_closure_of_all_parts(spark, tmp_path):
 def test_folder_closure_of_over_a_million_rows(spark):
     folders = spark.range(1, 80_001).selectExpr("id", "CASE WHEN id >= 2 THEN id div 2 END AS parent")
     assert scope.folder_closure(folders).count() == sum(k.bit_length() for k in range(1, 80_001))
+
+def test_not_a_match_keeps_large_groups(spark):
+    _, rows = duck_rows("SELECT o_custkey AS g, o_orderkey AS k FROM orders WHERE o_custkey IS NOT NULL", FOLDER)
+    groups, sets = defaultdict(list), defaultdict(set)
+    for r in rows:
+        groups[r["g"]].append(r["k"])
+        if r["g"] // 3 % 2 == 0:
+            sets[r["g"] // 3].add(r["k"])
+    expected = {g: sorted(ks) for g, ks in groups.items() if len(ks) >= 2 and not any(s.issuperset(ks) for s in sets.values())}
+    assert any(len(ks) > 12 for ks in expected.values())
+    assert {r.group_id: r.ids for r in catalogue.QUERIES["not_a_match"](spark, FOLDER).collect()} == expected
