@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,22 +66,39 @@ def replay_edges(edges: list[tuple[int, int, float, int]], similar: Callable[[in
     return [(g, i, d, f, i == lead[g]) for g, ms in sorted(members.items()) for i, (d, f) in ms.items()]
 
 
-def representative_groups(edges: DataFrame) -> DataFrame:
+def _by_component(edges: DataFrame, items: DataFrame):
+    """The edges (component, a, b, ...) and the frames (of, id, px) of items (id, px), to be folded component by component."""
+    of = components(edges)
+    keyed = edges.join(of.withColumnRenamed("node", "a"), "a")
+    frames = items.join(of.withColumnRenamed("node", "id"), "id").select(F.col("component").alias("of"), "id", F.col("px").cast("array<smallint>").alias("px"))
+    return keyed.groupBy("component").cogroup(frames.groupBy("of"))
+
+
+def _frames(pdf: pd.DataFrame) -> tuple[dict[int, int], np.ndarray]:
+    """The place of each item, and the frames by place."""
+    return {x: k for k, x in enumerate(pdf["id"].tolist())}, np.stack(pdf["px"].to_numpy()).astype(np.int16)
+
+
+def _near(frame: np.ndarray, others: np.ndarray, most: float) -> np.ndarray:
+    """Which of the others differ from the frame by at most ``most``, as in frame_pairs but without a gate of durations."""
+    return np.abs(frame - others).sum(axis=1, dtype=np.int64) / len(frame) / 256.0 <= most
+
+
+def representative_groups(edges: DataFrame, items: DataFrame, most: float) -> DataFrame:
     """(group_id, idx, diff, flags, is_rep) of edges (a, b, diff, flags), each component replayed on its own in order of (a, b).
 
-    Two items count as similar if they have an edge. A group's id is its representative.
+    Two items (id, px) count as similar if their frames differ by at most ``most``, whatever gates the edges passed.
+    A group's id is its representative.
     """
-    of = components(edges)
-    keyed = edges.join(of.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "diff", "flags")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, frames: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(pdf[["a", "b", "diff", "flags"]].itertuples(index=False, name=None))
-        linked = {(min(r[0], r[1]), max(r[0], r[1])) for r in rows}
-        out = replay_edges(rows, lambda x, y: (min(x, y), max(x, y)) in linked)
+        at, px = _frames(frames)
+        out = replay_edges(rows, lambda x, y: bool(_near(px[at[x]], px[at[y]][None, :], most)[0]))
         rep = {g: i for g, i, _, _, r in out if r}
         return pd.DataFrame([(rep[g], i, d, f, r) for g, i, d, f, r in out], columns=["group_id", "idx", "diff", "flags", "is_rep"])
 
-    return keyed.groupBy("component").applyInPandas(fold, "group_id long, idx long, diff double, flags int, is_rep boolean")
+    return _by_component(edges.select("a", "b", "diff", "flags"), items).applyInPandas(fold, "group_id long, idx long, diff double, flags int, is_rep boolean")
 
 
 def prune_by_majority(nodes: list[int], linked: Callable[[int, int], bool]) -> tuple[list[int], list[int]]:
@@ -119,18 +137,21 @@ def split_group(nodes: list[int], linked: Callable[[int, int], bool]) -> list[li
     return out
 
 
-def daisy_split(edges: DataFrame) -> DataFrame:
-    """(group_id, idx): components of the edges (a, b) without members that few others support; a group's id is its smallest member."""
-    of = components(edges)
-    keyed = edges.join(of.withColumnRenamed("node", "a"), "a").select("component", "a", "b")
+def daisy_split(edges: DataFrame, items: DataFrame, most: float) -> DataFrame:
+    """(group_id, idx): components of the edges (a, b) without members that few others support; a group's id is its smallest member.
+
+    Support is the verdict on the frames of items (id, px) for all pairs of a component, whatever gates the edges passed.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = set(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
-        nodes = sorted({x for p in pairs for x in p})
-        groups = split_group(nodes, lambda x, y: (x, y) in pairs or (y, x) in pairs)
+    def fold(pdf: pd.DataFrame, frames: pd.DataFrame) -> pd.DataFrame:
+        at, px = _frames(frames)
+        links = np.zeros((len(px), len(px)), bool)
+        for k in range(len(px)):
+            links[k, k:] = links[k:, k] = _near(px[k], px[k:], most)
+        groups = split_group(sorted(at), lambda x, y: bool(links[at[x], at[y]]))
         return pd.DataFrame([(min(g), x) for g in groups for x in g], columns=["group_id", "idx"]).astype("int64")
 
-    return keyed.groupBy("component").applyInPandas(fold, "group_id long, idx long")
+    return _by_component(edges.select("a", "b"), items).applyInPandas(fold, "group_id long, idx long")
 
 
 def assign_clips(matches: DataFrame) -> DataFrame:

@@ -253,12 +253,12 @@ def connected_components(spark, d):
 
 @query()
 def representative_groups(spark, d):
-    return grouping.representative_groups(_edges(spark, d))
+    return grouping.representative_groups(_edges(spark, d), items(spark, d), 0.04)
 
 
 @query()
 def daisy_split(spark, d):
-    return grouping.daisy_split(_edges(spark, d))
+    return grouping.daisy_split(_edges(spark, d), items(spark, d), 0.04)
 
 
 # Scope and rejection

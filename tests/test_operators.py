@@ -23,6 +23,36 @@ def test_star_is_pruned():
     assert (kept, gone) == ([0, 2, 3], [1])
 
 
+def test_groups_that_span_more_than_the_duration_gate(spark):
+    """Verdicts inside a component come from frames: a chain of durations, and random frames, against a plain replay."""
+    rng = random.Random(3)
+    bases = [[rng.randrange(256) for _ in range(1024)] for _ in range(3)]
+    rows = [(k, round(100 * 1.18**k), bases[0]) for k in range(6)]
+    for k in range(6, 46):
+        px = list(rng.choice(bases[1:]))
+        for i in rng.sample(range(1024), rng.randint(0, 200)):
+            px[i] = rng.randrange(256)
+        rows.append((k, rng.randrange(100, 200), px))
+    gap = {(x, y): sum(abs(p - q) for p, q in zip(px, qx, strict=True)) / 1024 / 256 for x, _, px in rows for y, _, qx in rows}
+    length = {x: n for x, n, _ in rows}
+    edges = [(x, y, d, 0) for (x, y), d in sorted(gap.items()) if x < y and d <= 0.04 and abs(length[x] - length[y]) <= 0.2 * min(length[x], length[y])]
+    assert any(d <= 0.04 and x < y and (x, y, d, 0) not in edges for (x, y), d in gap.items())
+    similar = lambda x, y: gap[x, y] <= 0.04
+    e, items = spark.createDataFrame(edges, "a long, b long, diff double, flags int"), spark.createDataFrame(rows, "id long, duration long, px array<int>")
+
+    out = grouping.replay_edges(edges, similar)
+    rep = {r[0]: r[1] for r in out if r[4]}
+    got = [tuple(r) for r in grouping.representative_groups(e, items, 0.04).collect()]
+    assert sorted(got) == sorted((rep[g], *r) for g, *r in out) and {r[1] for r in got if r[0] == 0} == set(range(6))
+
+    parts = {}
+    for r in grouping.components(e).collect():
+        parts.setdefault(r.component, []).append(r.node)
+    expected = sorted((min(g), x) for p in parts.values() for g in grouping.split_group(sorted(p), similar) for x in g)
+    got = sorted(map(tuple, grouping.daisy_split(e, items, 0.04).collect()))
+    assert got == expected and {x for g, x in got if g == 0} == set(range(6))
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
