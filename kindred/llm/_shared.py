@@ -6,11 +6,12 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a bounded id filter: 1 MB, whatever the number of ids.
-FILTER_BITS = 1 << 23
+#: Bits of an id filter: 16 for each id, between these bounds (1 MB and 32 MB), so it stays sparse up to some 20 million ids.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 28
 _BUCKET_BITS = 32768
 
 
@@ -27,23 +28,36 @@ def limit_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: survives lost executors, cuts lineage."""
+    """df written as a Parquet table in the shared folder and read again: survives lost executors, cuts lineage.
+
+    Tables lie in one folder for each application, which goes when the driver ends; those that no result reads go earlier (``unstage``).
+    """
     spark = df.sparkSession
     limit_batches(spark)
-    path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/kindred/{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, files = _path(spark, own)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -54,22 +68,27 @@ def unstage(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_staged_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            at, files = _path(df.sparkSession, path)
+            files.delete(at, True)
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of ``bits`` bits over hashes of the ids: at most bits / 8 bytes reach the driver, however many ids.
+def filter_bits(number: int) -> int:
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (16 * max(number, 1) - 1).bit_length()))
 
-    It only spares work: an id may pass it by accident, none is missed, and an exact join follows.
+
+def id_filter(ids: DataFrame, column: str, number: int | None = None) -> np.ndarray:
+    """A bitmap over hashes of the ids, sized by their number (counted if it isn't given) within fixed bounds.
+
+    It only spares work: an id may pass it by accident, none is missed, and an exact join follows before anything larger than the rows
+    themselves is made.
     """
+    bits = filter_bits(ids.count() if number is None else number)
     h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)).cast("long")
     rows = (
         ids.select(F.floor(h / _BUCKET_BITS).cast("int").alias("b"), (h % _BUCKET_BITS).alias("p"))
         .groupBy("b")
         .agg(F.bitmap_construct_agg("p").alias("m"))
-        .collect()
+        .toLocalIterator()
     )
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
@@ -78,15 +97,41 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
     return out
 
 
-def hash_bit(column: str, bits: int = FILTER_BITS) -> F.Column:
-    """The bit of an id in ``id_filter``, as a column."""
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)).cast("int")
+def hash_bit(column: str, bitmap: np.ndarray) -> F.Column:
+    """The bit of an id in this ``id_filter``, as a column."""
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(len(bitmap) * 8)).cast("int")
 
 
 def passes(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
+#: The name of the column that holds a row's bit.
+BIT = "_kindred_bit"
+
+
+def _passing(bitmap: np.ndarray, inside: bool):
+    def run(batches):
+        for batch in batches:
+            bit = batch.column(BIT)
+            hit = passes(bitmap, bit.fill_null(0).to_numpy(zero_copy_only=False)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit if inside else ~hit)).drop_columns([BIT])
+
+    return run
+
+
+def parted(docs: DataFrame, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id passes the bitmap, the others with those of a null id), both with the columns of docs."""
+    shared = docs.withColumn(BIT, hash_bit("doc_id", bitmap))
+    return shared.mapInArrow(_passing(bitmap, True), docs.schema), shared.mapInArrow(_passing(bitmap, False), docs.schema)
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, key: str, number: int | None = None) -> DataFrame:
+    """The rows of docs (doc_id, ...) whose id is the key of a row of lists, joined with it: only rows that pass a bitmap are shuffled."""
+    inside, _ = parted(docs, id_filter(lists, key, number))
+    return inside.hint("merge").join(lists.hint("merge"), inside.doc_id == lists[key]).drop(key)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -119,4 +164,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             break
     unstage(both)
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._staged_path = labels._staged_path
+    return out

@@ -154,5 +154,33 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> It
         a = b
 
 
+_FOLDED = np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in map(chr, range(1 << 16))], np.uint32)
+
+
+def folded(text: str) -> np.ndarray:
+    """What each code point counts as: a letter (Unicode's L classes) in lower case where that is one code point, anything else as a space."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _FOLDED[np.minimum(code, len(_FOLDED) - 1)]
+    far = np.flatnonzero(code >= len(_FOLDED))
+    if len(far):
+        kinds, at = np.unique(code[far], return_inverse=True)
+        out[far] = np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in map(chr, kinds.tolist())], np.uint32)[at]
+    return out
+
+
+def cut(text: str, most: int) -> list[str]:
+    """The text in parts of at most ``most`` code points that end at a non-letter; only a longer run of letters is cut inside."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = at + most
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + most
+        out.append(text[at:end])
+        at = end
+    out.append(text[at:])
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

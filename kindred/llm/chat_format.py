@@ -2,15 +2,17 @@
 
 A record arrives as JSON in one of several layouts. Its fingerprint is the hash of its sorted distinct
 nested field paths (``messages[].role``); the fingerprint selects a declarative mapping that turns the record into canonical
-turns. Fields that no layout names are left out of the paths, so extra columns don't change a fingerprint.
+turns. A fingerprint that is no layout's own belongs to the first layout, in a fixed order, all of whose paths it has, so
+further fields of any name don't hide a layout.
 
 The template marks turns with control strings. Inside texts, a backslash goes before each backslash and behind the first
 character of each control string, so no text can close its turn, and removing the inserted backslashes gives the text
 back. ``parse`` reads the turns and the loss mask (the assistants' texts, without their marks) back from the output.
 
 Null texts are empty. A conversation's rows go by turn (null first), then role and text; repeated rows stay repeated turns. Null
-roles are empty strings. Rows with a null conv_id form one conversation with a null id. A record of an unknown
-layout gives no turns (``layout`` null). One conversation is one output text, so it must fit a row.
+roles are empty strings. Rows with a null conv_id form one conversation with a null id. Texts that are no strings become JSON, lists of
+text parts are joined. A record that is null, no JSON, no object or of an unknown layout gives no turns: ``layout`` is null, the formatted text empty
+and ``reject`` names the reason (``rejects`` counts them). One conversation is one output text, so it must fit a row.
 """
 
 from __future__ import annotations
@@ -44,46 +46,82 @@ class Layout:
         return [p for _, p in self.fields]
 
 
+#: In order of precedence: the first whose paths a record has is its layout.
 LAYOUTS = (
-    Layout("prompt", (("user", "prompt"), ("assistant", "response"))),
-    Layout("completion", (("user", "prompt"), ("assistant", "completion"))),
-    Layout("question", (("user", "question"), ("assistant", "answer"))),
-    Layout("instruction", (("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("system_prompt", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("messages", items="messages", role="role", text="content"),
     Layout("turns", items="turns", role="speaker", text="text"),
     Layout("conversations", items="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Layout("system_prompt", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("instruction_input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("prompt", (("user", "prompt"), ("assistant", "response"))),
+    Layout("question", (("user", "question"), ("assistant", "answer"))),
+    Layout("instruction", (("user", "instruction"), ("assistant", "output"))),
 )
-_NAMED = {p.split(".")[-1].removesuffix("[]") for x in LAYOUTS for p in x.paths()} | {x.items for x in LAYOUTS if x.items}
 
 
 def field_paths(record: object, at: str = "") -> set[str]:
-    """The nested paths of a record's named fields that are no containers."""
+    """The nested paths of a record's values; elements of lists share a path, an empty list is marked as such."""
     if isinstance(record, dict):
-        return {p for k, v in record.items() if k in _NAMED for p in field_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in record.items() for p in field_paths(v, f"{at}.{k}" if at else k)} or {at + "{}"}
     if isinstance(record, list):
-        return {p for v in record for p in field_paths(v, at + "[]")} or {at + "[]"}
+        return {p for v in record for p in field_paths(v, at + "[]")} or {at + "[]#"}
     return {at}
 
 
 def fingerprint(paths: set[str] | list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
 
+def _has(paths: set[str], path: str) -> bool:
+    return any(p == path or p.startswith((path + ".", path + "[", path + "{")) for p in paths)
 
-MAPPINGS = {fingerprint(x.paths()): x for x in LAYOUTS} | {fingerprint([x.items + "[]"]): x for x in LAYOUTS if x.items}
 
+def layout_of(paths: set[str]) -> Layout | None:
+    """The first layout whose paths are all there; a list of turns must hold nothing but objects."""
+    for x in LAYOUTS:
+        if x.items and f"{x.items}[]#" in paths:
+            return x
+        if x.items and (f"{x.items}[]" in paths or any(p.startswith(f"{x.items}[][") for p in paths)):
+            continue
+        if all(_has(paths, p) for p in x.paths()):
+            return x
+    return None
 
-def canonical_turns(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
+
+#: Layouts by fingerprint; fingerprints with further fields are added as they are met, MOST_KNOWN at most.
+MAPPINGS: dict[str, Layout | None] = {fingerprint(x.paths()): x for x in LAYOUTS}
+MOST_KNOWN = 10_000
+
+
+def _as_text(value: object) -> str:
+    """Strings as they are, null as empty, a list of text parts joined, anything else as JSON with sorted keys."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        parts = [v if isinstance(v, str) else v.get("text") if isinstance(v, dict) else None for v in value]
+        if all(isinstance(p, str) for p in parts):
+            return "".join(parts)
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+def canonical_turns(record: object) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout name, (role, text) of each turn) of a record; no layout: (None, [])."""
-    layout = MAPPINGS.get(fingerprint(field_paths(record)))
+    if not isinstance(record, dict):
+        return None, []
+    paths = field_paths(record)
+    key = fingerprint(paths)
+    if key not in MAPPINGS:
+        if len(MAPPINGS) >= MOST_KNOWN:
+            MAPPINGS.clear()
+        MAPPINGS[key] = layout_of(paths)
+    layout = MAPPINGS[key]
     if layout is None:
         return None, []
     if layout.items:
         roles = dict(layout.roles)
-        turns = [(x.get(layout.role) or "", x.get(layout.text) or "") for x in record[layout.items]]
+        turns = [(_as_text(x.get(layout.role)), _as_text(x.get(layout.text))) for x in record[layout.items]]
         return layout.name, [(roles.get(r, r), t) for r, t in turns]
-    return layout.name, [(role, record[p] or "") for role, p in layout.fields]
+    return layout.name, [(role, _as_text(record[p])) for role, p in layout.fields]
 
 
 #: Opening and closing marks of the turns of each role.
@@ -129,28 +167,46 @@ def parse(formatted: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]
     return turns, mask
 
 
-_FORMATTED = "conv_id long, layout string, formatted string, mask array<struct<begin:int,end:int>>"
+_FORMATTED = "conv_id long, layout string, formatted string, mask array<struct<begin:int,end:int>>, reject string"
+
+
+def read_record(text: str | None) -> tuple[str | None, list[tuple[str, str]], str | None]:
+    """(layout name, turns, null or why the record is rejected) of a record's JSON text."""
+    if text is None:
+        return None, [], "null"
+    try:
+        record = json.loads(text)
+        if not isinstance(record, dict):
+            return None, [], "no object"
+        name, turns = canonical_turns(record)
+    except (ValueError, RecursionError):
+        return None, [], "no JSON"
+    return name, turns, None if name else "unknown layout"
 
 
 def _format(batches):
     span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(span))])
+    schema = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(span)), ("reject", pa.string())])
     for batch in batches:
-        names, texts, masks = [], [], []
-        for record in batch.column("record").to_pylist():
-            name, turns = canonical_turns(json.loads(record))
-            text = render(turns)
-            names.append(name)
-            texts.append(text)
-            masks.append([{"begin": a, "end": b} for a, b in parse(text)[1]])
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(masks, pa.list_(span))], schema=schema)
+        rows = []
+        for conv, record in zip(batch.column("conv_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
+            name, turns, reject = read_record(record)
+            # half a pair of surrogates, which JSON can escape, is no character
+            text = render([(r.encode("utf-8", "replace").decode(), t.encode("utf-8", "replace").decode()) for r, t in turns])
+            rows.append((conv, name, text, [{"begin": a, "end": b} for a, b in parse(text)[1]], reject))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(5)], schema=schema)
 
 
 def format_records(records: DataFrame) -> DataFrame:
-    """(conv_id, layout, formatted, mask) of records (conv_id, record: JSON text)."""
+    """(conv_id, layout, formatted, mask, reject) of records (conv_id, record: JSON text)."""
     return records.select(F.col("conv_id").cast("long"), "record").mapInArrow(_format, _FORMATTED)
 
 
+def rejects(formatted: DataFrame) -> DataFrame:
+    """(reject, n): how many records were rejected, by reason."""
+    return formatted.filter("reject IS NOT NULL").groupBy("reject").agg(F.count("*").alias("n"))
+
+
 def records_of(conversations: DataFrame) -> DataFrame:
     """Conversations (rows by turn) as records (conv_id, record): a user's and an assistant's turn in the prompt
     layout, with a system's turn before them in its layout, others as messages."""

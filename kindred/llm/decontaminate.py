@@ -1,74 +1,89 @@
-"""Operator 1: benchmark decontamination by exact containment search with a prefix filter.
+"""Operator 1: benchmark decontamination by size-partitioned MinHash containment search, verified by exact shingle containment.
 
-A document contains an item of q shingles if it has at least t q of them, so it has at least one of any
-q - ceil(t q) + 1 of them. These are an item's probes: its rarest shingles within the block of items.
+Items are partitioned by size: class c holds those of 2^c to 2^(c + 1) - 1 distinct shingles. A class fixes how many MinHash samples an item
+has: its shingles of smallest hash, a few (``SPARE``) more than a document that contains an item of the class may lack. A document that
+contains an item of q shingles lacks at most a = q - ceil(t q) of them, so it has at least k - a of the item's k samples: documents
+with as many are candidates, and no occurrence is missed, however short the item, long the document or scattered the copy.
 
-* Every shingle of a text is looked up among the probes, wherever in the text it stands, so no item is too short
-  and no occurrence too scattered to become a candidate.
+* Every shingle of a text is looked up among the samples, wherever in the text it stands.
 * Candidates (document, item) are decided on full sets: |item and document| / |item| >= t, over the whole document.
 
-Items are spread to all tasks; their number and size are checked, and beyond ``MOST_ITEMS`` or ``MOST_BYTES``
-the benchmark is worked through in blocks that stay below, one scan of the documents each.
+The benchmark is measured first. Up to ``MOST_ITEMS`` items and ``MOST_BYTES`` of text are broadcast. A larger one stays distributed: documents'
+shingles that may be samples (a bitmap of bounded size says so) are joined with the samples, and candidates with the full sets.
 
 Nulls and texts without words contain nothing; items without words match nothing. Texts and items with fewer than five
-words are one shingle. Repeated rows of documents give repeated pairs; repeated items are items of their own.
-Other columns of the inputs are ignored. Sets are compared by 64-bit shingle hashes.
+words are one shingle. Repeated rows of documents give repeated pairs; repeated items are items of their own; items with a null id or text
+are none. Other columns of the inputs are ignored. Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as X
-from ._shared import read
+from ._shared import passes, read, stage, unstage
 
 THRESHOLD = 0.8
-#: Bounds of one block of items.
+#: A benchmark up to this size is broadcast.
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
-#: Bits of the filter that a text's shingles pass before they are searched among the probes.
+#: Samples beyond those that a containing document may lack.
+SPARE = 4
+#: Bits of the filter that a text's shingles pass before they are searched among the samples.
 FILTER_BITS = 1 << 24
 
 
+def least_common(n: int, containment: float) -> int:
+    """The least number of common shingles that the verdict accepts, in its own floating point."""
+    return next(c for c in range(max(0, math.floor(containment * n) - 1), n + 2) if c >= containment * n)
+
+
+def samples(s: np.ndarray, containment: float) -> tuple[np.ndarray, int]:
+    """(the MinHash samples of an item's set, how many of them a containing document has at least)."""
+    n = len(s)
+    largest = (1 << n.bit_length()) - 1
+    k = min(n, largest - max(least_common(largest, containment), 1) + SPARE)
+    order = np.argsort(X.mix(s ^ np.uint64(0x6A09E667F3BCC909)), kind="stable")
+    return s[order[:k]], k - (n - max(least_common(n, containment), 1))
+
+
 class Items:
-    """A block of items: sets, and a lookup of their probes."""
+    """Broadcast items: sets, and a lookup of their samples."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], containment: float):
         self.ids, self.sets = ids, sets
-        size = np.array([len(s) for s in sets], np.int64)
-        grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, kind, often = np.unique(grams, return_inverse=True, return_counts=True)
-        order = np.lexsort((grams, often[kind], owner))
-        grams, owner = grams[order], owner[order]
-        # the least common count is taken as the verdict takes it, in floating point
-        need = np.array([next(c for c in range(max(0, math.floor(containment * n) - 1), n + 2) if c >= containment * n) for n in size.tolist()], np.int64)
-        rank = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
-        probe = rank < np.repeat(size - np.maximum(need, 1) + 1, size)
-        order = np.argsort(grams[probe], kind="stable")
-        self.probes, self.owner = grams[probe][order], owner[probe][order]
+        made = [samples(s, containment) for s in sets]
+        grams = np.concatenate([*(m[0] for m in made), np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets)), [len(m[0]) for m in made])
+        self.need = np.array([m[1] for m in made], np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.samples, self.owner = grams[order], owner[order]
         self.filter = np.zeros(FILTER_BITS, bool)
-        self.filter[self.probes & np.uint64(FILTER_BITS - 1)] = True
+        self.filter[self.samples & np.uint64(FILTER_BITS - 1)] = True
 
-    def candidates(self, grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) of texts whose shingles are grams[first : first + count]."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) of texts whose shingles are grams[first : first + count], in order."""
         may = np.flatnonzero(self.filter[grams & np.uint64(FILTER_BITS - 1)])
-        lo, hi = np.searchsorted(self.probes, grams[may], "left"), np.searchsorted(self.probes, grams[may], "right")
+        lo, hi = np.searchsorted(self.samples, grams[may], "left"), np.searchsorted(self.samples, grams[may], "right")
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
-            return out
-        at, lo, hi = may[hit], lo[hit], hi[hit]
-        for text in np.flatnonzero(count):
-            a, b = np.searchsorted(at, [first[text], first[text] + count[text]])
-            for x, y in {(int(x), int(y)) for x, y in zip(lo[a:b], hi[a:b], strict=True)}:
-                out.update((int(text), int(i)) for i in self.owner[x:y])
-        return out
+            return []
+        begins = np.argsort(first, kind="stable")
+        begins = begins[count[begins] > 0]
+        text = begins[np.searchsorted(first[begins], may[hit], "right") - 1]
+        # a shingle counts once in a text
+        _, once = np.unique(text * np.int64(len(self.samples)) + lo[hit], return_index=True)
+        text, lo, times = text[once], lo[hit][once], (hi - lo)[hit][once]
+        at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pair, found = np.unique(np.repeat(text, times) * np.int64(len(self.ids)) + self.owner[at], return_counts=True)
+        item = pair % len(self.ids)
+        enough = found >= self.need[item]
+        return list(zip((pair[enough] // len(self.ids)).tolist(), item[enough].tolist(), strict=True))
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,78 +104,160 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_common", pa.int64()), ("containment", pa.float64())])
 
 
-def _search(block: tuple[list[int], list[str]], containment: float):
+_DDL = "doc_id long, item_id long, n_item long, n_common long, containment double"
+
+
+def _rows(items: Items, containment: float, texts: pa.Array, names: list) -> list[tuple]:
+    grams, first, count = _shingles(texts)
+    rows, own = [], (-1, None)
+    for t, i in items.candidates(grams, first, count):
+        if own[0] != t:
+            own = t, np.unique(grams[first[t] : first[t] + count[t]])
+        common = int(np.isin(items.sets[i], own[1], assume_unique=True).sum())
+        if common >= containment * len(items.sets[i]):
+            rows.append((names[t], items.ids[i], len(items.sets[i]), common, common / len(items.sets[i])))
+    return rows
+
+
+def _search(shared, containment: float):
     def run(batches):
-        ids, texts = block
-        sets = list(X.shingle_sets(pa.array(texts, pa.string())))
-        full = [i for i, s in enumerate(sets) if len(s)]
-        items = Items([ids[i] for i in full], [sets[i] for i in full], containment)
         for batch in batches:
             for part in X.slices(batch):
-                grams, first, count = _shingles(part.column("text"))
-                doc = part.column("doc_id").to_pylist()
-                rows = []
-                own: dict[int, np.ndarray] = {}
-                for t, i in sorted(items.candidates(grams, first, count)):
-                    if t not in own:
-                        own = {t: np.unique(grams[first[t] : first[t] + count[t]])}
-                    common = int(np.isin(items.sets[i], own[t], assume_unique=True).sum())
-                    if common >= containment * len(items.sets[i]):
-                        rows.append((doc[t], items.ids[i], len(items.sets[i]), common, common / len(items.sets[i])))
-                cols = [pa.array([r[k] for r in rows], _SCHEMA.field(k).type) for k in range(5)]
-                yield pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
+                rows = _rows(shared.value, containment, part.column("text"), part.column("doc_id").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _SCHEMA.field(k).type) for k in range(5)], schema=_SCHEMA)
 
     return run
 
 
-def item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks below MOST_ITEMS and MOST_BYTES (a larger item is a block of its own)."""
-    ids: list[int] = []
-    texts: list[str] = []
-    size = 0
-    for r in items.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        n = len(r["text"])
-        if ids and (len(ids) >= MOST_ITEMS or size + n > MOST_BYTES):
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += n
-    if ids:
-        yield ids, texts
+def _clean(shared, containment: float):
+    def run(batches):
+        for batch in batches:
+            for part in X.slices(batch):
+                bad = np.zeros(part.num_rows, bool)
+                bad[[r[0] for r in _rows(shared.value, containment, part.column("text"), list(range(part.num_rows)))]] = True
+                yield part.filter(pa.array(~bad))
 
+    return run
 
-def contaminated(docs: DataFrame, items: DataFrame, containment: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_item, n_common, containment): items of which a document contains at least the given share of shingles."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, item_id long, n_item long, n_common long, containment double"
-    out = None
-    for block in item_blocks(items):
-        found = docs.mapInArrow(_search(block, containment), schema)
-        out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+def broadcast_items(items: DataFrame, containment: float):
+    """The items as a broadcast, if their measured size allows; None if not."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > MOST_ITEMS or size["bytes"] > MOST_BYTES:
+        return None
+    rows = sorted((r["item_id"], r["text"]) for r in items.collect())
+    sets = list(X.shingle_sets(pa.array([t for _, t in rows], pa.string())))
+    full = [k for k, s in enumerate(sets) if len(s)]
+    return items.sparkSession.sparkContext.broadcast(Items([rows[k][0] for k in full], [sets[k] for k in full], containment))
 
 
-def _flag(block: tuple[list[int], list[str]], containment: float):
-    search = _search(block, containment)
+def _item_sets(containment: float):
+    """Each item's shingles, with those that are samples marked and what a document needs of them."""
 
     def run(batches):
+        schema = pa.schema([("item_id", pa.int64()), ("copy", pa.int64()), ("gram", pa.int64()), ("sample", pa.bool_()), ("need", pa.int64()), ("n_item", pa.int64())])
         for batch in batches:
             for part in X.slices(batch):
-                index = part.set_column(part.schema.get_field_index("doc_id"), "doc_id", pa.array(np.arange(part.num_rows)))
-                bad = np.zeros(part.num_rows, bool)
-                for found in search(iter([index])):
-                    bad[found.column("doc_id").to_numpy()] = True
-                yield part.filter(pa.array(~bad))
+                for item, copy, s in zip(part.column("item_id").to_pylist(), part.column("copy").to_pylist(), X.shingle_sets(part.column("text")), strict=True):
+                    if len(s):
+                        chosen, need = samples(s, containment)
+                        n = len(s)
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.int64()), pa.array([copy] * n, pa.int64()), pa.array(X.signed(s)), pa.array(np.isin(s, chosen)), pa.array([need] * n, pa.int64()), pa.array([n] * n, pa.int64())], schema=schema)
 
     return run
 
 
+def _print(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text."""
+    power, inverse = X._power_tables(len(words) + 1)
+    total = np.append(np.uint64(0), np.cumsum(words * power[: len(words)], dtype=np.uint64))
+    return X.mix((total[first[1:]] - total[first[:-1]]) * inverse[first[:-1]] + np.diff(first).astype(np.uint64))
+
+
+def _grams_of(bitmap: np.ndarray):
+    """The distinct shingles of each text that the bitmap passes, with the text's fingerprint."""
+
+    def run(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("f", pa.int64()), ("gram", pa.int64())])
+        for batch in batches:
+            for part in X.slices(batch):
+                words, at, _, _ = X.word_hashes(part.column("text"), lower=True)
+                prints = X.signed(_print(words, at)).tolist()
+                for doc, f, s in zip(part.column("doc_id").to_pylist(), prints, X.shingle_sets(part.column("text")), strict=True):
+                    s = X.signed(s)
+                    s = s[passes(bitmap, s % (len(bitmap) * 8))]
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array([doc] * len(s), pa.int64()), pa.array([f] * len(s), pa.int64()), pa.array(s)], schema=schema)
+
+    return run
+
+
+def _gram_filter(grams: DataFrame) -> np.ndarray:
+    """A bitmap over shingles: 16 MB at most, whatever their number; an exact join follows."""
+    bits = 1 << 27
+    bit = F.pmod(F.col("gram"), F.lit(bits))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in grams.groupBy(F.floor(bit / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(bit % 32768).alias("m")).toLocalIterator():
+        m = np.frombuffer(bytes(r["m"]), np.uint8)
+        out[r["b"] * 4096 :][: len(m)] = m
+    return out
+
+
+_DOC_GRAMS = "doc_id long, f long, gram long"
+
+
+def distributed_matches(docs: DataFrame, items: DataFrame, containment: float) -> DataFrame:
+    """(doc_id, f, item_id, n_item, n_common) of distinct texts (doc_id, f: fingerprint), without any broadcast of items."""
+    numbered = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").withColumn("copy", F.monotonically_increasing_id())
+    numbered = stage(numbered, "items")
+    sets = stage(numbered.mapInArrow(_item_sets(containment), "item_id long, copy long, gram long, sample boolean, need long, n_item long"), "item_sets")
+    sampled = sets.filter("sample").select("copy", "gram", "need")
+    hits = docs.mapInArrow(_grams_of(_gram_filter(sampled)), _DOC_GRAMS).distinct()
+    found = hits.hint("merge").join(sampled.hint("merge"), "gram").groupBy("doc_id", "f", "copy").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    candidates = stage(found.filter("n >= need").select("doc_id", "f", "copy"), "candidates")
+    texts = candidates.select(F.col("doc_id").alias("d"), F.col("f").alias("g")).distinct()
+    chosen = stage(sets.join(candidates.select("copy").distinct(), "copy", "left_semi").select("item_id", "copy", "gram", "n_item"), "chosen")
+    grams = docs.mapInArrow(_grams_of(_gram_filter(chosen)), _DOC_GRAMS).distinct()
+    grams = grams.hint("merge").join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("f") == F.col("g")), "left_semi")
+    pairs = grams.hint("merge").join(chosen.hint("merge"), "gram").groupBy("doc_id", "f", "copy", "item_id", "n_item").agg(F.count("*").alias("n_common"))
+    out = stage(pairs.filter(F.col("n_common") >= F.lit(containment) * F.col("n_item")).select("doc_id", "f", "item_id", "n_item", "n_common"), "matches")
+    unstage(numbered, sets, candidates, chosen)
+    return out
+
+
+def _printed(batches):
+    for batch in batches:
+        for part in X.slices(batch):
+            words, at, _, _ = X.word_hashes(part.column("text"), lower=True)
+            yield part.append_column("_kindred_f", pa.array(X.signed(_print(words, at))))
+
+
+def _with_print(docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(_printed, T.StructType([*docs.schema.fields, T.StructField("_kindred_f", T.LongType())]))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, containment: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_item, n_common, containment): items of which a document contains at least the given share of shingles."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    shared = broadcast_items(items, containment)
+    if shared is not None:
+        return docs.mapInArrow(_search(shared, containment), _DDL)
+    matches = distributed_matches(docs, items, containment).withColumnRenamed("doc_id", "d")
+    # repeated rows give repeated pairs: the texts' fingerprints tell which rows are meant
+    rows = _with_print(docs).select("doc_id", F.col("_kindred_f").alias("r"))
+    joined = rows.join(matches, rows.doc_id.eqNullSafe(matches.d) & (rows.r == matches.f))
+    return joined.select("doc_id", "item_id", "n_item", "n_common", (F.col("n_common") / F.col("n_item")).alias("containment"))
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (all columns) that contain no item; each block of items is one more pass over what is left."""
-    for block in item_blocks(items):
-        docs = docs.mapInArrow(_flag(block, containment), docs.schema)
-    return docs
+    """The rows of docs (all columns) that contain no item."""
+    shared = broadcast_items(items, containment)
+    if shared is not None:
+        return docs.mapInArrow(_clean(shared, containment), docs.schema)
+    bad = distributed_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias("_d"), F.col("f").alias("_f")).distinct()
+    rows = _with_print(docs)
+    return rows.join(bad, rows.doc_id.cast("long").eqNullSafe(bad["_d"]) & (rows["_kindred_f"] == bad["_f"]), "left_anti").drop("_kindred_f")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

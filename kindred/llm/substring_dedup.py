@@ -9,7 +9,8 @@ the corpus, so edges are compacted into paths where they are made:
 2. Anchors that stand in one document only cannot carry a shared window; their pieces go. Pieces equal in
    anchor and words are one compacted path; its smallest document is found by a combining aggregate.
 3. A piece of a later document that equals a whole path is covered. Where an anchor has several
-   paths (they branch: the borders of a shared passage), the first source of each path is opened into its windows again,
+   paths (they branch: the borders of a shared passage), the first source of each path is opened into its windows again
+   (a join of documents with the exact places of theirs; a bitmap of ids only spares the shuffle of other texts),
    and windows are joined on (anchor, window hash) to find the smallest document of each.
 4. Covered windows go back through their source coordinates to the words of each document.
 
@@ -30,14 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import hash_bit, id_filter, passes, read, stage
+from ._shared import id_filter, parted, read, stage, unstage, with_lists
 
 WINDOW = 50
 ANCHOR = 16
 #: Windows of one path piece at most, so that a piece's covered windows fit one long.
 PIECE = 48
-#: Bits of the filter over source coordinates: 4 MB at most.
-COORDINATE_BITS = 1 << 25
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -98,36 +97,27 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PIECES)
 
 
-_COORDINATE = "CAST(pmod(pmod({doc}, 1073741824) * 40503 + {start}, {bits}) AS INT)"
-
-
-def _coordinate(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return ((doc % 1073741824) * 40503 + start) % COORDINATE_BITS
-
-
 _WINDOWS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("i", pa.int32()), ("win", pa.int64()), ("doc", pa.int64())])
 
 
-def _open(docs_bitmap: np.ndarray, coordinates: np.ndarray):
-    """The windows of the pieces whose coordinates pass; a piece that passes by accident adds true windows only."""
-
-    def run(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(passes(docs_bitmap, batch.column("bit").to_numpy())))
-            for part in X.slices(batch) if batch.num_rows else ():
-                words, first, _, _ = X.word_hashes(part.column("text"))
-                p = pieces(words, first)
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[p["text"]].astype(np.int64)
-                keep = passes(coordinates, _coordinate(doc, p["start"]))
-                if not keep.any():
-                    continue
-                count, at = p["count"][keep], p["at"][keep]
-                i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                win = X.gram_hashes(words, WINDOW)[np.repeat(at, count) + i]
-                cols = [np.repeat(X.signed(p["anchor"][keep]), count), np.repeat(X.signed(p["run"][keep]), count), i.astype(np.int32), X.signed(win), np.repeat(doc[keep], count)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_WINDOWS)
-
-    return run
+def _open(batches):
+    """The windows of the pieces that begin at the listed places; where rows share an id, they are true windows of its other texts, too."""
+    for batch in batches:
+        for part in X.slices(batch):
+            words, first, _, _ = X.word_hashes(part.column("text"))
+            p = pieces(words, first)
+            doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = part.column("starts")
+            text = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            wanted = text * (1 << 40) + lists.flatten().to_numpy(zero_copy_only=False)
+            keep = np.isin(p["text"] * (1 << 40) + p["start"], wanted)
+            if not keep.any():
+                continue
+            count, at = p["count"][keep], p["at"][keep]
+            i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            win = X.gram_hashes(words, WINDOW)[np.repeat(at, count) + i]
+            cols = [np.repeat(X.signed(p["anchor"][keep]), count), np.repeat(X.signed(p["run"][keep]), count), i.astype(np.int32), X.signed(win), np.repeat(doc[p["text"][keep]], count)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_WINDOWS)
 
 
 def covered_pieces(docs: DataFrame) -> DataFrame:
@@ -137,28 +127,21 @@ def covered_pieces(docs: DataFrame) -> DataFrame:
         found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("run") < F.max("run")).alias("branches")).filter("lo < hi").select("anchor", "branches"), "anchors"
     )
     inside = stage(found.hint("merge").join(shared.hint("merge"), "anchor").select("doc", "f", "start", "count", "anchor", "run", "branches"), "repeated")
+    unstage(found, shared)
     paths = stage(inside.groupBy("anchor", "run", "branches").agg(F.min(F.struct("doc", "start")).alias("source")).select("anchor", "run", "branches", "source.doc", "source.start"), "paths")
     source = paths.select("anchor", "run", F.col("doc").alias("source"))
     whole = inside.select("doc", "f", "start", "count", "anchor", "run").hint("merge").join(source.hint("merge"), ["anchor", "run"]).filter("source < doc")
     whole = whole.select("doc", "f", "start", F.expr("shiftleft(1L, count) - 1").alias("mask"))
 
-    opened = paths.filter("branches")
-    where = opened.select("doc", "start", F.expr(_COORDINATE.format(doc="doc", start="start", bits=COORDINATE_BITS)).alias("c"))
-    ids, coordinates = id_filter(where, "doc"), _raw_filter(where, "c", COORDINATE_BITS)
-    windows = stage(docs.select("doc_id", "text", hash_bit("doc_id").alias("bit")).mapInArrow(_open(ids, coordinates), "anchor long, run long, i int, win long, doc long"), "windows")
+    places = stage(paths.filter("branches").groupBy("doc").agg(F.collect_list("start").alias("starts")), "places")
+    opened = with_lists(docs.select("doc_id", "text"), places, "doc")
+    windows = stage(opened.mapInArrow(_open, "anchor long, run long, i int, win long, doc long"), "windows")
     earliest = stage(windows.groupBy("anchor", "win").agg(F.min("doc").alias("earliest")), "earliest")
     later = windows.hint("merge").join(earliest.hint("merge"), ["anchor", "win"]).filter("earliest < doc")
     masks = stage(later.groupBy("anchor", "run", "doc").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask")), "masks")
     borders = inside.hint("merge").join(masks.hint("merge"), ["anchor", "run", "doc"]).select("doc", "f", "start", "mask")
-    return whole.union(borders)
-
-
-def _raw_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    rows = df.select(F.floor(F.col(column) / 32768).cast("int").alias("b"), (F.col(column) % 32768).cast("long").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        m = np.frombuffer(bytes(r["m"]), np.uint8)
-        out[r["b"] * 4096 :][: len(m)] = m
+    out = stage(whole.union(borders), "covered")
+    unstage(inside, paths, places, windows, earliest, masks)
     return out
 
 
@@ -196,34 +179,22 @@ def _keep(batches):
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
-def _fingerprint(bitmap: np.ndarray, inside: bool):
-    """Rows whose document may lose words (with their fingerprint), or the others."""
-
-    def run(batches):
-        for batch in batches:
-            hit = passes(bitmap, batch.column("bit").to_numpy())
-            batch = batch.filter(pa.array(hit if inside else ~hit)).select(["doc_id", "text"])
-            for part in X.slices(batch) if batch.num_rows else ():
-                if inside:
-                    words, first, _, _ = X.word_hashes(part.column("text"))
-                    yield part.append_column("f", pa.array(X.signed(fingerprints(words, first))))
-                else:
-                    yield part
-
-    return run
+def _fingerprint(batches):
+    for batch in batches:
+        for part in X.slices(batch):
+            words, first, _, _ = X.word_hashes(part.column("text"))
+            yield part.append_column("f", pa.array(X.signed(fingerprints(words, first))))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs (doc_id, text): the text without passages of smaller documents."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = docs.filter("doc_id IS NOT NULL")
-    covered = stage(covered_pieces(known), "covered")
-    bitmap = id_filter(covered, "doc")
-    marks = covered.groupBy("doc", "f").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
-    bitted = known.withColumn("bit", hash_bit("doc_id"))
-    hit = bitted.mapInArrow(_fingerprint(bitmap, True), "doc_id long, text string, f long")
-    hit = hit.join(marks, (hit.doc_id == marks.doc) & (hit.f == marks.f), "left").select("doc_id", "text", "marks")
-    rest = bitted.mapInArrow(_fingerprint(bitmap, False), "doc_id long, text string").union(docs.filter("doc_id IS NULL"))
+    covered = covered_pieces(docs.filter("doc_id IS NOT NULL"))
+    marks = stage(covered.groupBy("doc", "f").agg(F.collect_list(F.struct("start", "mask")).alias("marks")), "marks")
+    unstage(covered)
+    hit, rest = parted(docs, id_filter(marks, "doc"))
+    hit = hit.mapInArrow(_fingerprint, "doc_id long, text string, f long")
+    hit = hit.hint("merge").join(marks.hint("merge"), (hit.doc_id == marks.doc) & (hit.f == marks.f), "left").select("doc_id", "text", "marks")
     return hit.mapInArrow(_keep, _KEPT).union(rest.mapInArrow(_keep, _KEPT))
 
 

@@ -80,5 +80,48 @@ def line_dedup(rows, min_docs, leading=3, least=3, constant=60):
         for _, m in ls:
             if m in template:
                 docs[template[m]].add(i)
-    drop = lambda i, m: m in template and len(docs[template[m]]) >= min_docs and i != min(docs[template[m]])
-    return {i: (sum(bool(m) for _, m in ls), sum(drop(i, m) for _, m in ls), "\n".join(s for s, m in ls if not drop(i, m))) for i, ls in lines.items()}
+    exact = defaultdict(set)
+    for i, ls in lines.items():
+        for s, _ in ls:
+            exact[tuple(words(s))].add(i)
+
+    def drop(i, s, m):
+        own = exact[tuple(words(s))]
+        return bool(m) and (m in template and len(docs[template[m]]) >= min_docs and i != min(docs[template[m]]) or len(own) >= min_docs and i != min(own))
+
+    return {i: (sum(bool(m) for _, m in ls), sum(drop(i, s, m) for s, m in ls), "\n".join(s for s, m in ls if not drop(i, s, m))) for i, ls in lines.items()}
+
+
+def toxicity_score(text, weights, offset, base, bucket_of_word, bucket_of_gram, grams):
+    """The forward pass of the averaged embeddings, word by word."""
+    found = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not found:
+        return base
+    total = 0.0
+    for w in found:
+        marked = f" {w} "
+        buckets = [bucket_of_word(w)] + [bucket_of_gram(marked[i : i + k]) for k in grams for i in range(len(marked) - k + 1)]
+        total += sum(weights[b] for b in buckets) / len(buckets)
+    from math import exp
+
+    return 1 / (1 + exp(-(total / len(found) + offset)))
+
+
+def language(texts, labelled, grams, bucket_of, buckets):
+    """The most probable language of each text by sums over n-grams; labelled: (text, language)."""
+    from math import log
+
+    fold = lambda t: "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in t)
+    each = lambda t: [bucket_of(f"  {' '}{fold(t)}   "[i : i + k]) for k in grams for i in range(len(t) + 3)]
+    counts = defaultdict(Counter)
+    for t, g in labelled:
+        counts[g].update(each(t))
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append("und")
+            continue
+        own = each(t)
+        score = {g: sum(log((c[b] + 0.5) / (sum(c.values()) + 0.5 * buckets)) for b in own) for g, c in counts.items()}
+        out.append(min(score, key=lambda g: (-score[g], g)))
+    return out

@@ -45,6 +45,17 @@ def test_near_duplicates(odd_docs, odd_rows, no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
 
 
+def test_an_id_with_several_texts(spark, vocabulary):
+    """Each text of an id is compared, and the id ties what they link."""
+    rng = random.Random(21)
+    a, b, c = ([rng.choice(vocabulary) for _ in range(50)] for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (9, [*a, "x"]), (7, [*b, "y"]), (8, c), (2, [*c, "z"]), (9, [*c, "q"]), (11, [])]
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(5, 2), (9, 2), (7, 2), (8, 2), (2, 2), (11, 11)}
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows[:7]], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (9, 5), (7, 5), (8, 2), (2, 2)}
+
+
 def test_group_of_near_copies_is_settled(spark, vocabulary):
     """Copies that drift apart: links that no star finds are found between blocks."""
     rng = random.Random(8)
@@ -61,15 +72,38 @@ def test_group_of_near_copies_is_settled(spark, vocabulary):
     assert len({c for _, c in expected.values()}) > 3
 
 
-def test_odd_sketch_estimates(vocabulary):
+def test_template_farm_is_settled_in_blocks(spark, vocabulary, monkeypatch):
+    """Documents of one template that are no near copies, with copies among them; blocks of a few rows change nothing."""
+    rng = random.Random(12)
+    template = [rng.choice(vocabulary) for _ in range(200)]
+    rows = []
+    for i in range(400):
+        own = [rng.choice(vocabulary) + str(i) for _ in range(90)]
+        rows.append((i, " ".join(template + own)))
+    for i in range(400, 440):
+        w = rows[i % 7 + 50][1].split()
+        w[-rng.randrange(1, 40)] = "changed"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dup, "BLOCK", 60)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(rows)
+
+
+def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
-    errors = []
-    for _ in range(60):
-        common, own = rng.integers(1, 1 << 62, 300, dtype=np.uint64), rng.integers(1, 1 << 62, (2, 30), dtype=np.uint64)
-        a, b = (near_dup.minhash(np.concatenate([common, o])) for o in own)
-        x, y = near_dup.odd_sketch(np.array([a, b]))
-        errors.append(near_dup.estimate(int(np.bitwise_count(x ^ y).sum())) - 300 / 360)
-    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+    errors, lost, limit = [], 0, near_dup.most_differing()
+    for k in range(300):
+        n = int(rng.integers(5, 900))
+        common = rng.integers(1, 1 << 62, 6 * n, dtype=np.uint64)
+        own = rng.integers(1, 1 << 62, (2, n), dtype=np.uint64)  # similarity 6 / 8, the threshold
+        a, b = (near_dup.bin_samples(np.concatenate([common, o])) for o in own)
+        x, y = near_dup.odd_sketch([a, b])
+        count = int(np.bitwise_count(x ^ y).sum())
+        lost += count > limit[min(near_dup.BINS, len(a) + len(b))]
+        if n > 300:
+            errors.append(near_dup.estimate(count, len(a), len(b)) - 0.75)
+    assert not lost and abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.04
+    assert near_dup.odd_sketch([np.zeros(0, np.uint64)]).sum() == 0
 
 
 def test_decontamination(spark, odd_docs, odd_rows, no_docs):
@@ -83,11 +117,17 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs):
     assert decontaminate.contaminated(no_docs, items).count() == 0 and decontaminate.contaminated(odd_docs, items.limit(0)).count() == 0
 
 
-def test_decontamination_in_blocks(spark, odd_docs, odd_rows, monkeypatch):
-    items = spark.createDataFrame([(k, " ".join(odd_rows[11][1].split()[50 * k : 50 * k + 40])) for k in range(6)], "item_id long, text string")
+def test_decontamination_by_a_large_benchmark(spark, odd_docs, odd_rows, monkeypatch):
+    """Items too many to broadcast are joined; the rows are the same, also those of repeated rows and null ids."""
+    tests = [(k, " ".join(odd_rows[11][1].split()[50 * k : 50 * k + 40])) for k in range(6)] + [(6, "one TWO"), (6, odd_rows[0][1]), (7, None), (8, "  "), (None, "one two")]
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    small = sorted(map(repr, decontaminate.contaminated(odd_docs, items).collect()))
+    kept = sorted(repr(r.doc_id) for r in decontaminate.without_contaminated(odd_docs, items).collect())
     monkeypatch.setattr(decontaminate, "MOST_ITEMS", 4)
-    assert len(list(decontaminate.item_blocks(items))) == 2
-    assert sorted(r.item_id for r in decontaminate.contaminated(odd_docs, items).collect()) == list(range(6))
+    assert decontaminate.broadcast_items(items, 0.8) is None
+    assert sorted(map(repr, decontaminate.contaminated(odd_docs, items).collect())) == small and len(small) == 13
+    left = decontaminate.without_contaminated(odd_docs, items)
+    assert left.columns == odd_docs.columns and sorted(repr(r.doc_id) for r in left.collect()) == kept
 
 
 def test_decontamination_of_short_and_scattered_items(spark):
@@ -121,6 +161,15 @@ def test_line_dedup(odd_docs, odd_rows, no_docs):
     assert line_dedup.dedup_lines(no_docs.select("doc_id", "text")).count() == 0
 
 
+def test_short_and_numeric_lines(spark):
+    """Lines of one or two words, and lines full of digits, go where they recur word for word; others like them stay."""
+    rows = [(i, f"Read more\nTel 555-0100 Fax 555-0101\nTel 555-{i:04d} Fax {i}\nShare\nown{i} words\n\nRead  more") for i in range(14)] + [(50, "Share\nelse"), (51, None)]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = brute.line_dedup(rows, 10)
+    assert {i: v for i, v in got.items() if v[1] is not None} == {i: v[1:] for i, v in expected.items()}
+    assert got[0][0] == 0 and got[1][0] == 4 and got[50] == (1, "else") and got[51] == (0, None)
+
+
 def test_substring_dedup(odd_docs, odd_rows, no_docs):
     got = substring_dedup.remove_repeats(odd_docs).collect()
     expected = brute.repeats(known(odd_rows))
@@ -195,6 +244,35 @@ def test_language_id(spark, odd_docs, odd_rows, no_docs):
     assert len(odd) == len(odd_rows) and {r.doc_id for r in odd if r.lang_pred == "und"} >= {4, 5, 6, 14} and all(0 <= r.score <= 1 for r in odd)
     assert language_id.identify(no_docs, language_id.train(no_docs)).count() == 0
     assert {r.lang_pred for r in language_id.identify(odd_docs, language_id.train(no_docs)).collect()} == {"und"}
+    assert model.predict(["½ ²", "①", "_ 12", "𝟘", "ªb"])[0][:4] == ["und"] * 4
+    short, long = model.predict(["the", "the and of " * 50])[1]
+    assert 0.25 < short < long <= 1
+
+
+def _bucket6(gram):
+    code = X.folded(gram + "   ")
+    return int(language_id.buckets(code, 0, 1)[language_id.GRAMS.index(len(gram))][0])
+
+
+def test_language_id_equals_plain_bayes(spark, monkeypatch):
+    """Against sums over n-grams; windows and blocks of languages of any size change nothing; ties go to the first name; no language is left out."""
+    rng = random.Random(3)
+    alphabets = ["abcde", "cdefg", "éöüab", "日本語文字", "abcdf"]
+    text = lambda k, n: " ".join("".join(rng.choice(alphabets[k]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, text(i % 5, 6), f"l{i % 5}") for i in range(120)] + [(500 + i, f"only{chr(97 + i % 26)}{chr(97 + i // 26)}", f"rare{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = language_id.train(docs)
+    assert model.langs == sorted({g for _, g in labelled}) and len(model.langs) > 50
+    asked = [text(k % 5, k % 9 + 1) for k in range(60)] + ["", "  ", "12", "Abc", "日本", "onlyaa"]
+    expected = brute.language(asked, labelled, language_id.GRAMS, _bucket6, language_id.BUCKETS)
+    langs, scores = model.predict(asked)
+    assert langs == expected
+    monkeypatch.setattr(language_id, "WINDOW", 7)
+    monkeypatch.setattr(language_id, "BLOCK", 3)
+    again = language_id.train(docs).predict(asked)
+    assert again[0] == langs and np.allclose(again[1], scores)
+    assert language_id.train(docs, rows=4000, texts=1).langs != []
 
 
 def test_toxicity_learns_and_generalises(spark, vocabulary, no_docs, odd_docs, odd_rows):
@@ -207,17 +285,49 @@ def test_toxicity_learns_and_generalises(spark, vocabulary, no_docs, odd_docs, o
             w[rng.randrange(60)] = rng.choice(["horridness", "vilestuff", "grumbledore"])
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
+    rows += [(i, None) for i in range(5)] + rows[:20]  # repeated ids teach once
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(docs, marks)
     got = toxicity.score_toxicity(docs, model).collect()
-    held = [r for r in got if r.held_out]
-    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.9 * len(held)
+    held = [r for r in got if r.held_out and r.score != model.base]
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
     assert (model.score(["such horridnes", "a vilestufff"]) > 0.5).all()
+    assert (toxicity.train(docs.repartition(7), marks).weights == model.weights).all()
     odd = toxicity.score_toxicity(odd_docs, model).collect()
     assert len(odd) == len(odd_rows) and all(r.predicted == 0 for r in odd if r.doc_id in (4, 5, 6)) and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.train(no_docs, marks.limit(0)) is None and {r.score for r in toxicity.score_toxicity(odd_docs, None).collect()} == {0.0}
 
 
+def test_toxicity_equals_a_plain_forward_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = rng.standard_normal(toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(weights, 0.3, 0.2)
+    whole = lambda w: int(toxicity.Words([w]).whole[0])
+    texts = ["Hello there, hello World", "a", None, "", "12 ²", "été naïve ÉTÉ", "x" * 40 + " yy", "one\ntwo three " * 30]
+    expected = [brute.toxicity_score(t, weights, 0.3, 0.2, whole, _bucket9, toxicity.GRAMS) for t in texts]
+    assert np.allclose(model.score(texts), expected)
+    monkeypatch.setattr(toxicity, "SLICE", 64)  # texts in parts
+    assert np.allclose(model.score(texts), expected)
+
+
+def _bucket9(gram):
+    """The bucket of an n-gram, by the hash that the module states: a polynomial over code points, then a multiplication."""
+    h = 0
+    for c in gram:
+        h = (h * int(toxicity._PRIME) + ord(c)) % (1 << 32)
+    return ((h + len(gram) - 1) * 0x9E3779B1 % (1 << 32)) >> (32 - toxicity.BUCKETS.bit_length() + 1)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Held-out accuracy on the smallest table with enough labels."""
+    folder = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in marks.collect()}
+    got = [r for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks)).collect() if r.held_out and r.doc_id in truth]
+    bad = [r for r in got if truth[r.doc_id] == 1]
+    assert sum(r.predicted for r in bad) >= 0.6 * len(bad) and sum(r.predicted for r in got if truth[r.doc_id] == 0) <= 0.05 * len(got)
+
+
 def test_token_counts(odd_docs, odd_rows, no_docs):
     import sentencepiece
 
@@ -257,6 +367,13 @@ def test_chat_round_trip(spark):
         ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, "conversations"),
         ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, "messages"),
         ({"turns": []}, "turns"),
+        ({"prompt": "a", "response": "b", "input": "", "text": "z"}, "prompt"),
+        ({"instruction": "a", "output": "b", "text": {"x": [1]}}, "instruction"),
+        ({"messages": [{"role": "user", "content": ["a"]}, {"role": "assistant", "content": [{"type": "text", "text": "b"}]}]}, "messages"),
+        ({"messages": ["a"]}, None),
+        ({"messages": [{"role": "user", "content": "a"}, None]}, None),
+        ({"messages": None}, None),
+        ({}, None),
         ({"nothing": 1}, None),
     ],
 )
@@ -265,6 +382,39 @@ def test_schema_fingerprints(record, layout):
     assert name == layout and (not turns or (turns[0], turns[-1]) == (("user", "a"), ("assistant", "b")))
 
 
+def test_malformed_records_are_rejected(spark):
+    rows = [(1, None), (2, "{"), (3, "[1]"), (4, '{"a": 1}'), (5, '{"prompt": 5, "response": {"b": 1, "a": null}}'), (6, '{"messages": []}'), (7, '{"prompt": "\\ud800", "response": null}'), (8, "[" * 100000)]
+    formatted = chat_format.format_records(spark.createDataFrame(rows, "conv_id long, record string"))
+    got = {r.conv_id: r for r in formatted.collect()}
+    assert {i: r.reject for i, r in got.items()} == {1: "null", 2: "no JSON", 3: "no object", 4: "unknown layout", 5: None, 6: None, 7: None, 8: "no JSON"}
+    assert chat_format.parse(got[5].formatted)[0] == [("user", "5"), ("assistant", '{"a": null, "b": 1}')] and got[6].formatted == got[1].formatted == ""
+    assert {r.reject: r.n for r in chat_format.rejects(formatted).collect()} == {"null": 1, "no JSON": 2, "no object": 1, "unknown layout": 1}
+
+
+def test_neighbours_verify_a_small_share_of_clustered_vectors(spark):
+    rng = np.random.default_rng(1)
+    centers = rng.standard_normal((200, 32))
+    x = centers[rng.integers(0, 200, 10000)] + 0.25 * rng.standard_normal((10000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[3000:6000] = x[0]  # a third of all rows is one vector
+    work = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, cell=512, work=work).collect():
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in range(0, 10000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        if q == 0 or 3000 <= q < 6000:
+            best = [i for i in [0, *range(3000, 3022)] if i != q][:20]
+        else:
+            best = np.lexsort((np.arange(10000), -s))[:20].tolist()
+        assert len(got[q]) == 20
+        hit += len(set(best) & set(got[q]))
+    assert hit >= 0.95 * 500 * 20 and 0 < work["verified"] < 0.25 * work["pairs"]
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((2500, 16)) * rng.uniform(0.5, 2, (2500, 1))
@@ -272,7 +422,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(3000, None), (3020, [0.0] * 16), (3040, [float("nan")] * 16), (3060, [None] * 16), (3080, []), (None, [1.0] * 16), (7, [float(x) for x in vectors[7]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS dim", "2 AS asked", "3 AS i").select("vec_id", "embedding")
     got = defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=600).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, cell=300).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     x = vectors.astype(np.float32).astype(np.float64)
     hit = 0
@@ -281,11 +431,82 @@ def test_neighbours_recall_and_odd_vectors(spark):
         best = [i for i in np.lexsort((np.arange(2500), -s)) if i != q][:20]
         hit += len(set(best) & {i for i, _ in got[q]})
         assert len(got[q]) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in got[q]) and got[q] == sorted(got[q], key=lambda t: (-t[1], t[0]))
-    assert hit >= 0.95 * 125 * 20 and set(got) == set(range(0, 2500, 20))
+    assert hit >= 0.9 * 125 * 20 and set(got) == set(range(0, 2500, 20))
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert abs(neighbours.chi_square_cdf(neighbours.chi_square_bound(0.97)) - 0.97) < 1e-9
 
 
+def test_staged_tables_go_when_they_are_read(spark, odd_docs):
+    """Operators leave only tables that their lazy results read."""
+    import os
+
+    from kindred.llm._shared import shared_dir
+
+    folder = f"{shared_dir(spark)}/kindred/{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    near_dup.near_duplicates(odd_docs).count()
+    line_dedup.dedup_lines(odd_docs.select("doc_id", "text")).count()
+    substring_dedup.remove_repeats(odd_docs).count()
+    left = {n.split("-")[0] for n in set(os.listdir(folder)) - before}
+    assert left <= {"signed", "found", "losses", "marks"}
+
+
+def _spark_hash(*values):
+    """Spark's xxhash64 of longs and (as bytes of four) ints: each value's hash seeds the next."""
+    import xxhash
+
+    seed = 42
+    for v, width in values:
+        seed = xxhash.xxh64_intdigest(int(v).to_bytes(width, "little", signed=True), seed)
+    return seed
+
+
+def test_mixing_tree_equals_a_plain_one(spark):
+    """The reduction tree, level by level, against a plain one that draws the same numbers."""
+    rng = random.Random(9)
+    rows = [(i, f"s{i % 4}", rng.randint(0, 300)) for i in range(900)]
+    found = mixing.copies(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    uniform = lambda level, *ids: (_spark_hash((mixing.SEED, 4), (level, 4), *((i, 8) for i in ids)) >> 11) / (1 << 53)
+    expected = {}
+    for s in sorted({r.source for r in found}):
+        own = [r for r in found if r.source == s]
+        e = own[0].target / sum(r.size for r in own)
+        whole, p = int(e), e - int(e)
+        units, groups, level = [(r.size, r.doc_id, p) for r in own], -(-len(own) // mixing.FAN), 0
+        while True:
+            parts = defaultdict(list)
+            for n, i, q in units:
+                h = _spark_hash((mixing.SEED + level, 4), (i, 8), (1, 8))
+                parts[(h - (1 << 64) if h >> 63 else h) % groups].append((n, i, q))
+            left = []
+            for part in parts.values():
+                part.sort(key=lambda u: (-u[0], -u[1]))
+                n, i, q = part[0]
+                for m, j, r in part[1:]:
+                    u, total = uniform(level, i, j, 1, 1), q + r
+                    go = u * total < r if total < 1 else u * (2 - total) < 1 - r
+                    end = 0 if total < 1 else 1
+                    expected[i if go else j] = whole + end
+                    rest = total if total < 1 else total - 1.0
+                    n, i, q = (m, j, rest) if go else (n, i, rest)
+                left.append((n, i, q))
+            if groups <= 1:
+                expected[left[0][1]] = whole + (1 if uniform(-1, left[0][1], 1) < left[0][2] else 0)
+                break
+            units, groups, level = left, -(-groups // mixing.FAN), level + 1
+    assert {r.doc_id: r.copies for r in found} == expected
+
+
+def test_rows_that_share_an_id_keep_different_texts(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, base, "a", 1), (1, base, "b", 2), (1, "quite another text of some words", "a", 3), (2, base + " end", "a", 4), (None, base, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").selectExpr("*", "'x' AS lang", "7 AS size", "8 AS copies")
+    runs = [sorted(map(repr, stages.keep_one_of_each_group(spark, docs.repartition(n), FOLDER).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 3
+    mixed = stages.mix_sources(spark, docs, FOLDER)
+    assert set(docs.columns) - {"size", "copies"} | {"input_size", "input_copies"} <= set(mixed.columns) and {(r.input_size, r.input_copies) for r in mixed.collect()} == {(7, 8)}
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     import corpus_pipeline
 
@@ -310,8 +531,11 @@ def test_pipeline_equals_plain_versions(spark):
     bad = {i for i, _ in brute.contaminated(list(rows.items()), items)}
     rows = {i: t for i, t in rows.items() if i not in bad}
     got = corpus_pipeline.run(spark, FOLDER).collect()
-    assert {r.doc_id: r.text for r in got}.items() <= rows.items()
     source = {r.doc_id: r.source for r in docs.collect()}
+    # the mix is decided by operator 5, tested on its own; it must take exactly what that takes of exactly these rows
+    sizes = spark.createDataFrame([(i, source[i], len(brute.words(t))) for i, t in rows.items()], "doc_id long, source string, size long")
+    taken = {r.doc_id: r.copies for r in mixing.copies(sizes).collect() if r.copies}
+    assert {r.doc_id: (r.text, r.copies) for r in got} == {i: (rows[i], n) for i, n in taken.items()} and len(got) == len(taken) > 50
     of_source = Counter()
     for i, t in rows.items():
         of_source[source[i]] += len(brute.words(t))
