@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import stages
-from kindred.llm._shared import read, stage
+from kindred.llm._shared import read, stage, unstage
 
 STAGES = [
     ("language_id", stages.keep_identified),
@@ -26,5 +26,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that all stages leave of documents."""
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        left = stage(step(spark, docs, sf_dir), name)
+        unstage(docs)
+        docs = left
     return docs
