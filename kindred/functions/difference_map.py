@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalise(luma: np.ndarray) -> np.ndarray:
@@ -67,3 +70,45 @@ def regions(mask: np.ndarray, least: int = 4, gap: int = 3, most: int = 12, pad:
         x0, y0, x1, y1 = max(x0 - pad, 0), max(y0 - pad, 0), min(x1 + pad, w - 1), min(y1 + pad, h - 1)
         out.append((x0 / w, y0 / h, (x1 - x0 + 1) / w, (y1 - y0 + 1) / h))
     return out
+
+
+#: The longest side of a grid that is analysed.
+MOST_SIDE = 384
+
+
+def analysis_size(width: int, height: int, most: int = MOST_SIDE) -> tuple[int, int]:
+    """The size at which a picture is analysed: smaller in proportion if a side is longer than ``most``."""
+    scale = min(1.0, most / max(width, height, 1))
+    return max(1, round(width * scale)), max(1, round(height * scale))
+
+
+def shrink(luma: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The mean of the box of pixels behind each point of a smaller grid."""
+    h, w = luma.shape
+    ys, xs = np.arange(height + 1) * h // height, np.arange(width + 1) * w // width
+    total = np.add.reduceat(np.add.reduceat(luma.astype(np.float64), ys[:-1], axis=0), xs[:-1], axis=1)
+    return total / (np.diff(ys)[:, None] * np.diff(xs)[None, :])
+
+
+def alpha(mask: np.ndarray, opacity: float = 0.6) -> np.ndarray:
+    """How opaque a map over the picture is at each point, 0 to 255."""
+    return np.where(mask, np.uint8(round(255 * opacity)), np.uint8(0)).astype(np.uint8)
+
+
+def coverage(mask: np.ndarray) -> float:
+    return float(mask.mean()) if mask.size else 0.0
+
+
+_BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y", "width", "height")])
+
+
+@F.pandas_udf(T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("regions", T.ArrayType(_BOX))]))
+def differing_regions(a: pd.Series, b: pd.Series, width: pd.Series, height: pd.Series, sensitivity: pd.Series) -> pd.DataFrame:
+    """Of pairs of luma grids (arrays of width x height values): the share of points that differ, and boxes of where."""
+    out = []
+    for x, y, w, h, s in zip(a, b, width, height, sensitivity, strict=True):
+        to = analysis_size(int(w), int(h))
+        grids = [shrink(np.asarray(g, np.float64).reshape(int(h), int(w)), *to) for g in (x, y)]
+        mask = difference_mask(*grids, float(s))
+        out.append((coverage(mask), [dict(zip(("x", "y", "width", "height"), map(float, r), strict=True)) for r in regions(mask)]))
+    return pd.DataFrame(out, columns=["coverage", "regions"])

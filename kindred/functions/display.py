@@ -7,6 +7,8 @@ import struct
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kindred.functions.kernels import hdr_rank
+
 #: ISO 639-2 terminological codes and their bibliographic forms.
 TERM_TO_BIB = {
     "sqi": "alb", "hye": "arm", "eus": "baq", "mya": "bur", "zho": "chi", "ces": "cze", "nld": "dut", "fra": "fre", "kat": "geo", "deu": "ger",
@@ -83,6 +85,12 @@ def sample_second(duration: Column, position: Column, most: float = 0) -> Column
     return (F.least(duration, F.lit(float(most))) if most > 0 else duration) * position
 
 
+def dense_times(duration: Column, most: int = 400) -> Column:
+    """The times at which a timeline is sampled: one for each interval, ``most`` at most."""
+    count = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(duration / dense_interval(duration)).cast("int")))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * dense_interval(duration))
+
+
 def dense_interval(duration: Column) -> Column:
     """Seconds between frames of a dense timeline: a sixtieth from 5 to 15, but never more than 400 frames."""
     return F.greatest(F.least(F.greatest(duration / 60, F.lit(5.0)), F.lit(15.0)), duration / 400)
@@ -113,6 +121,11 @@ def judge(value: Column, other: Column) -> Column:
     return F.when(other.isNull() | (value == other), "neutral").when(value > other, "better").otherwise("worse")
 
 
+def hdr_chip(hdr: Column, other: Column) -> Column:
+    """better, worse or neutral by the rank of HDR formats."""
+    return judge(hdr_rank(F.coalesce(hdr, F.lit(""))), F.when(other.isNotNull(), hdr_rank(other)))
+
+
 def library_key(path: Column) -> Column:
     """A readable name and a short hash of a library's path."""
     clean = F.regexp_replace(path, r"(.)[\\/]+$", "$1")

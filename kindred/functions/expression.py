@@ -213,6 +213,11 @@ def _span(seconds: float) -> Callable[..., Value]:
     return lambda v: Value(v.column.cast("double") * seconds, "span")
 
 
+def _pattern(p: Column) -> Column:
+    """A pattern without a leading (?i), which the domain drops and does not apply."""
+    return F.regexp_replace(p, r"^\(\?i\)", "")
+
+
 def _half_up(x: Column, digits: Column | None = None) -> Column:
     scale = F.pow(F.lit(10.0), digits) if digits is not None else F.lit(1.0)
     return F.floor(x * scale + 0.5) / scale
@@ -252,6 +257,10 @@ _MEMBERS: dict[tuple[str, str], Callable[..., Value]] = {
     ("span", "Hours"): _num(lambda s: F.floor(s / 3600) % 24),
     ("span", "Minutes"): _num(lambda s: F.floor(s / 60) % 60),
     ("span", "Seconds"): _num(lambda s: F.floor(s) % 60),
+    ("span", "Milliseconds"): _num(lambda s: F.floor(s * 1000 + 0.5) % 1000),
+    ("time", "Ticks"): _num(lambda t: F.unix_millis(t.cast("timestamp")) * 10000),
+    ("match", "Success"): _bool(lambda m: m.isNotNull()),
+    ("match", "Value"): _str(lambda m: F.coalesce(m, F.lit(""))),
 }
 _STATIC: dict[str, dict[str, Callable[..., Value]]] = {
     "Math": {
@@ -264,7 +273,7 @@ _STATIC: dict[str, dict[str, Callable[..., Value]]] = {
         "Pow": _num(F.pow),
         "Sqrt": _num(F.sqrt),
     },
-    "Regex": {"IsMatch": _bool(F.regexp), "Match": _str(lambda s, p: F.regexp_substr(s, p))},
+    "Regex": {"IsMatch": _bool(lambda s, p: F.regexp(s, _pattern(p))), "Match": lambda s, p: Value(F.regexp_substr(s.column, _pattern(p.column)), "match")},
     "TimeSpan": {"FromSeconds": _span(1), "FromMinutes": _span(60), "FromHours": _span(3600)},
     "string": {
         "IsNullOrEmpty": _bool(lambda s: F.coalesce(s, F.lit("")) == ""),
@@ -274,6 +283,31 @@ _STATIC: dict[str, dict[str, Callable[..., Value]]] = {
 _KINDS = {"string": "str", "boolean": "bool", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}
 
 
+#: The properties of an item and what columns hold them.
+ITEM_PROPERTIES = {
+    "Id": "id", "GroupId": "group_id", "Path": "path", "Name": "name", "Extension": "ext", "Folder": "folder", "Folders": "folders", "Tags": "tags", "Rating": "star", "Annotation": "annotation", "Url": "url",
+    "Size": "size", "SizeLong": "size", "Similarity": "similarity", "Difference": "difference", "Duration": "duration", "FrameSize": "frame_size", "FrameSizeInt": "frame_size_int", "Format": "format",
+    "AudioFormat": "audio_format", "AudioChannel": "audio_channels", "AudioSampleRate": "audio_sample_rate", "AudioBitRateKbs": "audio_bit_rate", "AudioLanguages": "audio_languages", "SubtitleLanguages": "subtitle_languages",
+    "BitRateKbs": "bit_rate", "Fps": "fps", "HdrFormat": "hdr", "DateCreated": "created", "DateModified": "modified", "ImportedAt": "imported", "IsImage": "is_image",
+    "IsBestDuration": "is_best_duration", "IsBestSize": "is_best_size", "IsBestFps": "is_best_fps", "IsBestBitRateKbs": "is_best_bit_rate", "IsBestAudioSampleRate": "is_best_audio_sample_rate",
+    "IsBestAudioBitRateKbs": "is_best_audio_bit_rate", "IsBestHdrFormat": "is_best_hdr", "IsBestFrameSize": "is_best_frame_size", "Flags": "flags", "PartialClipOffset": "partial_offset", "IsMissing": "missing", "IsDeletedContent": "tombstone",
+}
+#: Properties that are bits of the flags.
+FLAG_PROPERTIES = {"IsFlipped": 1, "IsPartialClip": 2, "IsAiMatched": 4}
+
+
+def item_names(dtypes: list[tuple[str, str]]) -> dict[str, Value]:
+    """The item's properties over a result table's columns; durations and clip offsets are time spans."""
+    known = names_of(dtypes)
+    out = {p: known[c] for p, c in ITEM_PROPERTIES.items() if c in known}
+    for p in ("Duration", "PartialClipOffset"):
+        if p in out:
+            out[p] = Value(out[p].column, "span")
+    if "flags" in known:
+        out |= {p: Value(F.col("flags").bitwiseAND(F.lit(b)) != 0, "bool") for p, b in FLAG_PROPERTIES.items()}
+    return out
+
+
 def names_of(dtypes: list[tuple[str, str]], prefix: str = "") -> dict[str, Value]:
     """The names an expression may use, from a DataFrame's columns, in CamelCase too."""
     out = {}
@@ -283,9 +317,9 @@ def names_of(dtypes: list[tuple[str, str]], prefix: str = "") -> dict[str, Value
     return out
 
 
-def compile_expression(source: str, dtypes: list[tuple[str, str]]) -> Column:
-    """The expression as a boolean column over a DataFrame's columns; null counts as false."""
-    v = _Parser(source, names_of(dtypes)).whole()
+def compile_expression(source: str, dtypes: list[tuple[str, str]], item: bool = False) -> Column:
+    """The expression as a boolean column over a DataFrame's columns (``item``: over the properties of a result's items); null counts as false."""
+    v = _Parser(source, item_names(dtypes) if item else names_of(dtypes)).whole()
     if v.kind != "bool":
         raise ExpressionError("the expression is not a condition")
     return F.coalesce(v.column, F.lit(False))

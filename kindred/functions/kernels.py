@@ -9,7 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +51,30 @@ def flip(px: Column, side: int = SIDE) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.reverse(F.slice(px, r * side + 1, side))))
 
 
-def text_frame(text: Column, pixels: int = PIXELS) -> Column:
-    """A stand-in for a frame: code points of the first characters modulo 256, padded with zeros."""
-    codes = F.transform(F.split(F.substring(text, 1, pixels), ""), lambda c: F.pmod(F.ascii(c), F.lit(256)))
-    return F.slice(F.concat(F.filter(codes, lambda c: c >= 0), F.array_repeat(F.lit(0), pixels)), 1, pixels)
+def frame_of(text: str, pixels: int = PIXELS) -> np.ndarray:
+    """A stand-in for a frame: the sum of the code points of each of as many equal parts of the whole text, modulo 256.
+
+    Part k of n takes the characters from k * length // n to (k + 1) * length // n, one at least; an empty text is black.
+    """
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    if not len(code):
+        return np.zeros(pixels, np.int64)
+    ends = np.arange(pixels + 1) * len(code) // pixels
+    total = np.append(0, np.cumsum(code))
+    return (total[np.maximum(ends[1:], ends[:-1] + 1)] - total[ends[:-1]]) % 256
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def text_frame(texts: pd.Series) -> pd.Series:
+    """``frame_of`` each text."""
+    return pd.Series([frame_of(t).astype(np.int32) for t in texts])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def text_frames(texts: pd.Series) -> pd.Series:
+    """``frame_of`` each third of each text."""
+    cut = lambda t: [frame_of(t[len(t) * k // 3 : len(t) * (k + 1) // 3]).tolist() for k in range(3)]
+    return pd.Series([cut(t) for t in texts])
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -101,17 +122,17 @@ _MOST_WORDS = 1 << 20
 
 def simhash_bits(texts: pd.Series) -> np.ndarray:
     """64-bit simhashes of texts: a bit is set if more of the text's words have it in their hash than not."""
-    known: dict[str, bytes] = {}
+    known: dict[bytes, bytes] = {}
     out = np.zeros((len(texts), 64), np.uint8)
     for row, text in enumerate(texts):
-        counts = Counter(text.split())
+        counts = Counter(text.encode().split())
         if not counts:
             continue
         if len(known) > _MOST_WORDS:
             known.clear()
         for w in counts:
             if w not in known:
-                known[w] = hashlib.md5(w.encode()).digest()[:8]
+                known[w] = hashlib.md5(w).digest()[:8]
         hashes = np.frombuffer(b"".join(known[w] for w in counts), np.uint8).reshape(-1, 8)
         n = np.fromiter(counts.values(), np.int64, len(counts))
         out[row] = 2 * (n @ np.unpackbits(hashes, axis=1)) > n.sum()
@@ -140,6 +161,60 @@ def sign_signature(q: Column) -> Column:
     return F.aggregate(F.transform(pairs, lambda x, i: F.call_function("shiftleft", x, i)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
+def sign_words(q: Column) -> Column:
+    """Sign signatures of vectors of any length: 32 components to a word, bit i set where component i of the word's is negative."""
+    words = F.sequence(F.lit(0), F.floor((F.size(q) - 1) / 32).cast("int"))
+    bits = lambda w: F.transform(F.slice(q, w * 32 + 1, 32), lambda x, i: F.when(x < 0, F.call_function("shiftleft", F.expr("1L"), i)).otherwise(F.expr("0L")))
+    return F.transform(words, lambda w: F.aggregate(bits(w), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)))
+
+
+def words_hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two signatures of several words."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: (s + d).cast("int"))
+
+
+def unit(v: Column) -> Column:
+    """A vector of length one; a zero vector stays."""
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+
+
+def rgb_is_dark(rgb: Column, percent: int = DARK_PERCENT) -> Column:
+    """Whether a frame of (red, green, blue) triples is dark: percent of its pixels dark in all three; an empty one is."""
+    pixel = F.sequence(F.lit(0), F.floor(F.size(rgb) / 3).cast("int") - 1)
+    dark = F.size(F.filter(pixel, lambda i: F.forall(F.slice(rgb, i * 3 + 1, 3), lambda c: c <= BLACK)))
+    return F.when(F.size(rgb) < 3, True).otherwise(dark * 100.0 / F.floor(F.size(rgb) / 3) >= percent)
+
+
+@F.pandas_udf(T.StringType())
+def content_hash(content: pd.Series) -> pd.Series:
+    """A hash of size and the ends of each file's bytes, as 16 hex digits: the size plus all little-endian 64-bit words of the first and last 64 KiB, modulo 2^64. Null below 64 KiB."""
+    part = 1 << 16
+
+    def one(c: bytes | None) -> str | None:
+        if c is None or len(c) < part:
+            return None
+        total = len(c)
+        for end in (c[:part], c[-part:]):
+            total += int(np.frombuffer(end, "<u8").sum(dtype=np.uint64))
+        return f"{total % (1 << 64):016x}"
+
+    return pd.Series([one(bytes(c) if c is not None else None) for c in content], dtype=object)
+
+
+def tensor(rgb: np.ndarray, mean: tuple = (0.485, 0.456, 0.406), deviation: tuple = (0.229, 0.224, 0.225)) -> np.ndarray:
+    """Images (n, height, width, 3; bytes) as a model's input (n, 3, height, width): shares of 255 less the mean, by the deviation (fixed values of the model's training)."""
+    scaled = (rgb.astype(np.float32) / np.float32(255) - np.array(mean, np.float32)) / np.array(deviation, np.float32)
+    return np.ascontiguousarray(scaled.transpose(0, 3, 1, 2))
+
+
+def first_token(output: np.ndarray) -> np.ndarray:
+    """The vectors of a model's first token (n, tokens, dimensions), of length one."""
+    v = output[:, 0, :].astype(np.float32)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.where(norm > 0, v / np.where(norm > 0, norm, 1), v)
+
+
 def signature_bound(threshold: float, dimensions: int) -> int:
     """Differing signs that a cosine of threshold stays below but for 4.6 standard deviations."""
     p = math.acos(threshold) / math.pi
@@ -167,6 +242,12 @@ def wildcard_pattern(pattern: str) -> str:
     return "(?is)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
+def usable_frames(frames: DataFrame, key: str, order: list[str], frame: str, dark: Column) -> DataFrame:
+    """frames with ``usable``: not dark, and not the same as the frame before, usable or not."""
+    before = F.lag(frame).over(W.partitionBy(key).orderBy(*order))
+    return frames.withColumn("usable", ~dark & ~F.col(frame).eqNullSafe(before))
+
+
 def megabytes(size: Column) -> Column:
     return ((size / 1024).cast("float") / 1024).cast("float").cast("int")
 

@@ -9,34 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators.lineage import cut
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches.
 
-    Each round takes minimum labels over the links and then jumps along labels; lineage is cut by a reliable
-    checkpoint where the session names a folder for it.
+    Leaves first: each larger end keeps one link to its smallest neighbour, whose other neighbours are linked among themselves. Each round then
+    takes minimum labels over the links and jumps along labels, until nothing changes; lineage is cut by reliable checkpoints.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("n")).agg(F.min("component").alias("m"))
+    ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least = cut(ends.groupBy("b").agg(F.min("a").alias("m")))
+    among = ends.hint("merge").join(least.hint("merge"), "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a < b")
+    fewer = least.select(F.col("m").alias("a"), "b").union(among).distinct()
+    both = cut(fewer.select(F.col("a").alias("u"), F.col("b").alias("v")).union(fewer.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
+        near = both.hint("merge").join(labels.hint("merge"), both.u == labels.node).groupBy(F.col("v").alias("n")).agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.n, "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         far = step.select(F.col("node").alias("t"), F.col("component").alias("further"))
-        new = _cut(step.join(far, step.component == far.t, "left").select("node", F.coalesce("further", "component").alias("component"), "was"))
+        new = cut(step.hint("merge").join(far.hint("merge"), step.component == far.t, "left").select("node", F.coalesce("further", "component").alias("component"), "was"))
         labels = new.select("node", "component")
         if not new.filter("component <> was").limit(1).count():
-            break
-    return labels
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
-    return df.checkpoint()
+            return labels
 
 
 def replay_edges(edges: list[tuple[int, int, float, int]], similar: Callable[[int, int], bool]) -> list[tuple[int, int, float, int, bool]]:
@@ -66,9 +61,9 @@ def replay_edges(edges: list[tuple[int, int, float, int]], similar: Callable[[in
     return [(g, i, d, f, i == lead[g]) for g, ms in sorted(members.items()) for i, (d, f) in ms.items()]
 
 
-def _by_component(edges: DataFrame, items: DataFrame):
+def _by_component(edges: DataFrame, items: DataFrame, of: DataFrame | None = None):
     """The edges (component, a, b, ...) and the frames (of, id, px) of items (id, px), to be folded component by component."""
-    of = components(edges)
+    of = components(edges) if of is None else of
     keyed = edges.join(of.withColumnRenamed("node", "a"), "a")
     frames = items.join(of.withColumnRenamed("node", "id"), "id").select(F.col("component").alias("of"), "id", F.col("px").cast("array<smallint>").alias("px"))
     return keyed.groupBy("component").cogroup(frames.groupBy("of"))
@@ -103,55 +98,85 @@ def representative_groups(edges: DataFrame, items: DataFrame, most: float) -> Da
 
 def prune_by_majority(nodes: list[int], linked: Callable[[int, int], bool]) -> tuple[list[int], list[int]]:
     """(kept, removed): while the first node of least degree has less than half of the living (rounded down), it goes."""
-    alive, gone = list(nodes), []
-    degree = {x: sum(1 for y in alive if y != x and linked(x, y)) for x in alive}
-    while alive:
-        worst = min(alive, key=lambda x: degree[x])
-        if degree[worst] >= len(alive) // 2:
+    matrix = np.array([[x != y and bool(linked(x, y)) for y in nodes] for x in nodes], bool).reshape(len(nodes), len(nodes))
+    kept, gone = prune_matrix(matrix)
+    return [nodes[i] for i in kept], [nodes[i] for i in gone]
+
+
+def prune_matrix(links: np.ndarray) -> tuple[list[int], list[int]]:
+    """``prune_by_majority`` over a symmetric matrix: (kept, removed) places."""
+    alive, degree, gone = np.ones(len(links), bool), links.sum(axis=1), []
+    left = len(links)
+    while left:
+        worst = int(np.argmin(np.where(alive, degree, len(links) + 1)))
+        if degree[worst] >= left // 2:
             break
-        alive.remove(worst)
+        alive[worst] = False
         gone.append(worst)
-        for y in alive:
-            degree[y] -= linked(worst, y)
-    return alive, gone
+        degree = degree - links[worst]
+        left -= 1
+    return np.flatnonzero(alive).tolist(), gone
 
 
-def split_group(nodes: list[int], linked: Callable[[int, int], bool]) -> list[list[int]]:
-    """A group of three or more split by majority pruning; what was pruned is split by its components and pruned again."""
-    if len(nodes) < 3:
-        return [nodes]
-    kept, gone = prune_by_majority(nodes, linked)
+def split_matrix(links: np.ndarray) -> list[list[int]]:
+    """A group of three or more split by majority pruning; what was pruned is split by its components and pruned again. Places by group."""
+    if len(links) < 3:
+        return [list(range(len(links)))]
+    kept, gone = prune_matrix(links)
     out = [kept] if len(kept) > 1 else []
-    left = list(gone)
-    while left:
-        part, todo = [], [left[0]]
+    waiting = np.zeros(len(links), bool)
+    waiting[gone] = True
+    for first in gone:
+        if not waiting[first]:
+            continue
+        part, todo = [], [first]
+        waiting[first] = False
         while todo:
             x = todo.pop()
-            if x in left:
-                left.remove(x)
-                part.append(x)
-                todo += [y for y in left if linked(x, y)]
-        part, _ = prune_by_majority(sorted(part), linked)
-        if len(part) > 1:
-            out.append(part)
+            part.append(x)
+            near = np.flatnonzero(links[x] & waiting)
+            waiting[near] = False
+            todo += near.tolist()
+        part.sort()
+        stay, _ = prune_matrix(links[np.ix_(part, part)])
+        if len(stay) > 1:
+            out.append([part[i] for i in stay])
     return out
 
 
+def split_group(nodes: list[int], linked: Callable[[int, int], bool]) -> list[list[int]]:
+    """``split_matrix`` over nodes and a relation."""
+    matrix = np.array([[x != y and bool(linked(x, y)) for y in nodes] for x in nodes], bool).reshape(len(nodes), len(nodes))
+    return [[nodes[i] for i in g] for g in split_matrix(matrix)]
+
+
+#: Bytes of a component's matrix of pairs, one for each, beyond which the component is left as it is.
+MATRIX_BYTES = 1 << 30
+
+
 def daisy_split(edges: DataFrame, items: DataFrame, most: float) -> DataFrame:
     """(group_id, idx): components of the edges (a, b) without members that few others support; a group's id is its smallest member.
 
-    Support is the verdict on the frames of items (id, px) for all pairs of a component, whatever gates the edges passed.
+    Support is the verdict on the frames of items (id, px) for all pairs of a component, whatever gates the edges passed. A component
+    whose matrix of pairs would take more than MATRIX_BYTES stays whole, without being gathered in a task.
     """
 
     def fold(pdf: pd.DataFrame, frames: pd.DataFrame) -> pd.DataFrame:
         at, px = _frames(frames)
+        names = sorted(at)
+        px = px[[at[x] for x in names]]
         links = np.zeros((len(px), len(px)), bool)
         for k in range(len(px)):
-            links[k, k:] = links[k:, k] = _near(px[k], px[k:], most)
-        groups = split_group(sorted(at), lambda x, y: bool(links[at[x], at[y]]))
+            links[k, k + 1 :] = links[k + 1 :, k] = _near(px[k], px[k + 1 :], most)
+        groups = [[names[i] for i in g] for g in split_matrix(links)]
         return pd.DataFrame([(min(g), x) for g in groups for x in g], columns=["group_id", "idx"]).astype("int64")
 
-    return _by_component(edges.select("a", "b"), items).applyInPandas(fold, "group_id long, idx long")
+    of = components(edges)
+    sizes = of.groupBy("component").agg((F.count("*").cast("double") * F.count("*")).alias("bytes"))
+    small = of.join(sizes.filter(F.col("bytes") <= MATRIX_BYTES).select("component"), "component", "left_semi")
+    large = of.join(sizes.filter(F.col("bytes") > MATRIX_BYTES).select("component"), "component", "left_semi")
+    split = _by_component(edges.select("a", "b"), items, small).applyInPandas(fold, "group_id long, idx long")
+    return split.union(large.select(F.col("component").alias("group_id"), F.col("node").alias("idx")))
 
 
 def assign_clips(matches: DataFrame) -> DataFrame:

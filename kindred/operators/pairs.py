@@ -37,32 +37,44 @@ def band_join(items: DataFrame, percent: float, carry: list[str] | None = None)
 def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool = False, masked: bool = False) -> DataFrame:
     """(a, b, diff): pairs a < b of items (id, duration, px) in one duration band whose frames differ by at most ``most``.
 
-    Bands are cut into blocks; each pair of blocks is compared in numpy and only matches leave the task. ``mirrored``
-    compares with the mirror image of the first; ``masked`` leaves out black and white pixels.
+    Each band is cut into blocks by its own number of rows; each pair of blocks is compared in numpy and only matches leave the task. Pairs whose
+    coarse sums (of 8 x 8 pixels) differ by more than the threshold allows are dropped before their pixels are read; sums of masked
+    pixels bound nothing. ``mirrored`` compares with the mirror image of the first; ``masked`` leaves out black and white pixels. With
+    in_scope among the columns, pairs of two items out of scope are left out.
     """
-    banded = items.select("id", F.col("duration").cast("double").alias("duration"), F.col("px").cast("array<smallint>").alias("px"), band(F.col("duration"), percent).alias("k"))
-    top = banded.groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    blocks = -(-top // BLOCK)
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = banded.select("id", "duration", "px", "k", block.alias("i"), others.alias("j"), F.lit(True).alias("first"))
-    right = banded.select("id", "duration", "px", F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("k"), others.alias("i"), block.alias("j"), F.lit(False).alias("first"), F.col("k").alias("own"))
-    cells = left.withColumn("own", F.col("k")).unionByName(right)
+    scope = F.col("in_scope") if "in_scope" in items.columns else F.lit(True)
+    banded = items.select("id", F.col("duration").cast("double").alias("duration"), F.col("px").cast("array<smallint>").alias("px"), band(F.col("duration"), percent).alias("k"), scope.alias("scoped"))
+    # as many bands as the logarithm of the longest duration: small enough to broadcast
+    sizes = banded.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    after = sizes.select((F.col("k") - 1).alias("k"), F.col("n").alias("next"))
+    blocks = F.broadcast(sizes.join(after, "k", "full").select("k", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) + F.coalesce("next", F.lit(0))).alias("m")))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = banded.join(blocks, "k").select("id", "duration", "px", "scoped", "k", place("n").alias("i"), each("m").alias("j"), F.lit(True).alias("first"), F.col("k").alias("own"))
+    shifted = banded.select("id", "duration", "px", "scoped", F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("k"), F.col("k").alias("own"))
+    right = shifted.join(blocks, "k").filter("n > 0").select("id", "duration", "px", "scoped", "k", each("n").alias("i"), place("m").alias("j"), F.lit(False).alias("first"), "own")
+    cells = left.unionByName(right)
     share = percent / 100.0
+    side = K.SIDE // 8
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         one, two = cell[cell["first"]], cell[~cell["first"]]
-        out = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(one) and len(two):
             a = np.stack(one["px"].to_numpy()).astype(np.int16)
             a = a.reshape(-1, K.SIDE, K.SIDE)[:, :, ::-1].reshape(len(a), -1) if mirrored else a
             b = np.stack(two["px"].to_numpy()).astype(np.int16)
+            coarse = lambda x: x.reshape(-1, side, 8, side, 8).sum(axis=(2, 4), dtype=np.int64).reshape(len(x), -1)
+            ca, cb = coarse(a), coarse(b)
             di, dj, own = one["duration"].to_numpy(), two["duration"].to_numpy(), two["own"].to_numpy()
-            ia, ib = one["id"].to_numpy(), two["id"].to_numpy()
+            ia, ib, sa, sb = one["id"].to_numpy(), two["id"].to_numpy(), one["scoped"].to_numpy(), two["scoped"].to_numpy()
+            k = one["k"].iloc[0]
             for r in range(len(a)):
                 # inside a band each pair meets twice: once is enough; the neighbouring band meets once
-                near = (np.abs(di[r] - dj) <= np.minimum(di[r], dj) * share) & ((own != one["k"].iloc[0]) | (ia[r] < ib)) & (ia[r] != ib)
+                near = (np.abs(di[r] - dj) <= np.minimum(di[r], dj) * share) & ((own != k) | (ia[r] < ib)) & (ia[r] != ib) & (sa[r] | sb)
                 rows = np.flatnonzero(near)
+                if not masked and len(rows):
+                    rows = rows[np.abs(ca[r] - cb[rows]).sum(axis=1) <= most * 256.0 * K.PIXELS]
                 if not len(rows):
                     continue
                 pick = b[rows]
@@ -73,35 +85,82 @@ def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool =
                     diff = np.where(n > 0, (gap * use).sum(axis=1) / np.maximum(n, 1) / 256.0, np.inf)
                 else:
                     diff = gap.sum(axis=1, dtype=np.int64) / gap.shape[1] / 256.0
-                for c in np.flatnonzero(diff <= most):
-                    x, y = ia[r], ib[rows[c]]
-                    out.append((min(x, y), max(x, y), float(diff[c])))
-        return pd.DataFrame(out, columns=["a", "b", "diff"]).astype({"a": "int64", "b": "int64", "diff": "float64"})
+                good = np.flatnonzero(diff <= most)
+                if len(good):
+                    y = ib[rows[good]]
+                    out.append((np.minimum(ia[r], y), np.maximum(ia[r], y), diff[good]))
+        a, b, d = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
+        return pd.DataFrame({"a": a, "b": b, "diff": d}).astype({"a": "int64", "b": "int64", "diff": "float64"})
 
     return cells.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long, diff double")
 
 
+#: Rows that share a slice's value before they are dealt by two slices at once.
+HOT_SLICE = 1000
+
+
+def hash_classes(items: DataFrame) -> DataFrame:
+    """(h, rep, size): items (id, h) with equal hashes as one, named by the smallest id."""
+    return items.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+
+
 def hamming_pairs(items: DataFrame, bits: int) -> DataFrame:
-    """(a, b, distance): pairs a < b of items (id, h) whose 64-bit hashes differ in at most ``bits`` bits.
+    """(a, b, distance): pairs a < b of items (id, h), with distinct hashes, that differ in 1 to ``bits`` of 64 bits.
 
-    By the pigeonhole principle such hashes agree in one of bits + 1 slices, so an equi-join on slices loses none.
+    By the pigeonhole principle such hashes agree in one of bits + 1 slices, so an equi-join on slices loses none. Values of a
+    slice that more than HOT_SLICE hashes share are dealt further, by each half slice outside of it: of these 2 * bits, at most ``bits``
+    can differ, so the pair still meets.
+    """
+    one = hash_classes(items).select(F.col("rep").alias("id"), "h")
+    each = one.select("id", "h", F.explode(_slices(bits + 1)).alias("p")).select("id", "h", "p.s", "p.v")
+    sizes = each.groupBy("s", "v").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SLICE).select(F.col("s").alias("hs"), F.col("v").alias("hv"))
+    marked = each.join(sizes, (F.col("s") == F.col("hs")) & (F.col("v") == F.col("hv")), "left")
+    finer = F.filter(_slices(2 * bits + 2), lambda x: F.floor(x["s"] / 2) != F.col("s"))
+    nothing = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("v")))
+    keyed = marked.withColumn("f", F.explode(F.when(F.col("hs").isNotNull(), finer).otherwise(nothing))).select("id", "h", "s", "v", F.col("f.s").alias("fs"), F.col("f.v").alias("fv"))
+    a = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "s", "v", "fs", "fv")
+    b = keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "s", "v", "fs", "fv")
+    found = a.hint("merge").join(b.hint("merge"), ["s", "v", "fs", "fv"]).filter((F.col("a") < F.col("b")) & (K.hamming(F.col("ha"), F.col("hb")) <= bits))
+    return found.select("a", "b", K.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
+
+
+def _slices(n: int) -> F.Column:
+    """The hash h in n slices: array of struct(s: which, v: value)."""
+    cuts = [64 * i // n for i in range(n + 1)]
+    part = lambda lo, hi: F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+    return F.array(*(F.struct(F.lit(i).alias("s"), part(lo, hi).alias("v")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
+
+
+def hamming_links(items: DataFrame, bits: int) -> DataFrame:
+    """(id, class_id, links) of items (id, h): the smallest id with an equal hash, and how many other items lie within ``bits`` bits. No pair of copies is written out."""
+    classes = hash_classes(items)
+    near = hamming_pairs(items, bits)
+    both = near.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(near.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    further = both.join(classes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("more"))
+    counted = classes.join(further, "rep", "left").select("h", "rep", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return items.hint("merge").join(counted.hint("merge"), "h").select("id", F.col("rep").alias("class_id"), "links")
+
+
+def quorum_candidates(items: DataFrame, bits: int) -> DataFrame:
+    """(a, b): pairs a < b of items (id, ph: a hash for each position), with distinct hashes, of which some position lies within ``bits`` bits.
+
+    A quorum needs one such position at least. Distinct hashes of a position meet by slices, then the items that have them.
     """
-    cuts = [64 * i // (bits + 1) for i in range(bits + 2)]
-    slices = F.array(*(F.struct(F.lit(i).alias("s"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("v")) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
-    each = items.select("id", "h", F.explode(slices).alias("p")).select("id", "h", "p.s", "p.v")
-    a = each.select(F.col("id").alias("a"), F.col("h").alias("ha"), "s", "v")
-    b = each.select(F.col("id").alias("b"), F.col("h").alias("hb"), "s", "v")
-    pairs = a.join(b, ["s", "v"]).filter((F.col("a") < F.col("b")) & (K.hamming(F.col("ha"), F.col("hb")) <= bits))
-    return pairs.select("a", "b", K.hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
+    one = items.groupBy("ph").agg(F.min("id").alias("id"))
+    each = one.select("id", F.posexplode("ph").alias("pos", "h"))
+    cuts = each.select("pos", "h").distinct().select("pos", "h", F.explode(_slices(bits + 1)).alias("p")).select("pos", "h", "p.s", "p.v")
+    x, y = (cuts.select("pos", "s", "v", F.col("h").alias("h" + c)) for c in "xy")
+    met = x.join(y, ["pos", "s", "v"]).filter(K.hamming(F.col("hx"), F.col("hy")) <= bits).select("pos", "hx", "hy").distinct()
+    a, b = (each.select("pos", F.col("id").alias(n), F.col("h").alias("h" + c)) for n, c in (("a", "x"), ("b", "y")))
+    return met.join(a, ["pos", "hx"]).join(b, ["pos", "hy"]).filter("a < b").select("a", "b").distinct()
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, bound: int | None = None) -> DataFrame:
     """(a, b, cosine): pairs a < b of vectors (id, q int8 array) of at least this cosine, block against block.
 
-    ``bound`` drops pairs whose sign signatures differ in more bits before the cosine is computed.
+    ``bound`` drops pairs whose sign signatures differ in more bits, before their cosine is computed.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-vectors.count() // BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x")
     cells = vectors.select("id", "q", block.alias("own"), others).select("id", "q", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
@@ -109,15 +168,22 @@ def cosine_pairs(vectors: DataFrame, threshold: float, bound: int | None = None)
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         q = np.stack(cell["q"].to_numpy()).astype(np.float32)
         ids, own = cell["id"].to_numpy(), cell["own"].to_numpy()
-        cosine = np.clip((q @ q.T).astype(np.float64) / 16129.0, -1, 1)
-        ok = (cosine >= threshold) & (ids[:, None] < ids[None, :])
+        ok = ids[:, None] < ids[None, :]
         if cell["i"].iloc[0] != cell["j"].iloc[0]:
             ok &= own[:, None] != own[None, :]
         if bound is not None:
             signs = (q < 0).astype(np.float32)
             ok &= signs @ (1 - signs).T + (1 - signs) @ signs.T <= bound
         a, b = np.nonzero(ok)
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "cosine": cosine[a, b]})
+        found = [np.zeros(0)]
+        if len(a) * 4 < len(q) ** 2:  # few enough pairs are left to be taken one by one
+            found += [np.einsum("ij,ij->i", q[a[k : k + 65536]], q[b[k : k + 65536]], dtype=np.float64) for k in range(0, len(a), 65536)]
+            cosine = np.concatenate(found)
+        else:
+            cosine = (q @ q.T).astype(np.float64)[a, b]
+        cosine = np.clip(cosine / 16129.0, -1, 1)
+        near = cosine >= threshold
+        return pd.DataFrame({"a": ids[a[near]], "b": ids[b[near]], "cosine": cosine[near]})
 
     return cells.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
 

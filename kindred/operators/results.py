@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kindred.functions.kernels import hdr_rank
+
 
 def mark_best(items: DataFrame, most: list[str], least: list[str], group: str = "group_id") -> DataFrame:
     """items with is_best_<column> where a row has the group's largest (or least) value; ties are all marked."""
@@ -13,6 +15,25 @@ def mark_best(items: DataFrame, most: list[str], least: list[str], group: str =
     return items.withColumns({f"is_best_{c}": F.col(c) == F.max(c).over(g) for c in most} | {f"is_best_{c}": F.col(c) == F.min(c).over(g) for c in least})
 
 
+#: Metrics that only videos have.
+VIDEO_METRICS = ("duration", "fps", "bit_rate", "audio_sample_rate", "audio_bit_rate")
+
+
+def highlight_best(items: DataFrame, prefers_larger: bool = False, group: str = "group_id") -> DataFrame:
+    """items with the eight best marks of the domain: the most of each metric, the least size (the largest if that is preferred), the best HDR.
+
+    Groups of images (by their first row) have no marks for what only videos have.
+    """
+    g = W.partitionBy(group)
+    image = F.min_by(F.col("is_image"), F.col("idx")).over(g)
+    rank = hdr_rank(F.col("hdr"))
+    marks = {f"is_best_{c}": ~image & (F.col(c) == F.max(c).over(g)) for c in VIDEO_METRICS}
+    marks["is_best_hdr"] = ~image & (rank == F.max(rank).over(g))
+    marks["is_best_frame_size"] = F.col("frame_size") == F.max("frame_size").over(g)
+    marks["is_best_size"] = F.col("size") == (F.max("size") if prefers_larger else F.min("size")).over(g)
+    return items.withColumns(marks)
+
+
 def group_stats(items: DataFrame, group: str = "group_id") -> DataFrame:
     """Sort keys of each group: total, largest and wasted size, files, similarity, first date, longest duration, first name."""
     return items.groupBy(group).agg(
@@ -41,12 +62,31 @@ def percent_label(value: Column, best: Column) -> Column:
     return F.concat(F.when(p < 0, "").otherwise("+"), p.cast("string"), F.lit("%"))
 
 
-def hover_differences(items: DataFrame, column: str, label: str = "percent", group: str = "group_id") -> DataFrame:
-    """items with diff_<column>: null if all of a group are equal, BEST for the largest, otherwise the difference to it."""
+def hover_differences(items: DataFrame, column: str, label: str = "percent", group: str = "group_id", least: bool = False, above: float | None = None) -> DataFrame:
+    """items with diff_<column>: null if all of a group are equal, BEST for the largest (``least``: smallest), otherwise the difference to it.
+
+    With ``above``, values are compared only with a best beyond it.
+    """
     g = W.partitionBy(group)
-    best, low = F.max(column).over(g), F.min(column).over(g)
-    text = duration_label(F.col(column) - best) if label == "duration" else percent_label(F.col(column), best)
-    return items.withColumn(f"diff_{column}", F.when(best == low, F.lit(None)).when(F.col(column) == best, "BEST").otherwise(text))
+    high, low = F.max(column).over(g), F.min(column).over(g)
+    best = low if least else high
+    text = duration_label(F.col(column) - best) if label == "duration" else signed_percent(F.col(column), best) if label == "signed" else percent_label(F.col(column), best)
+    text = F.when(best > above, text) if above is not None else text
+    return items.withColumn(f"diff_{column}", F.when(high == low, F.lit(None)).when(F.col(column) == best, "BEST").otherwise(text))
+
+
+def hover_all(items: DataFrame) -> DataFrame:
+    """items with the differences of all six metrics to their group's best; size counts as best where it is smallest."""
+    out = hover_differences(hover_differences(items, "duration", "duration"), "size", "signed", least=True, above=0)
+    for c, above in (("frame_size", 0), ("fps", 0.01), ("bit_rate", 0), ("audio_bit_rate", 0)):
+        out = hover_differences(out, c, "signed", above=above)
+    return out
+
+
+def signed_percent(value: Column, best: Column) -> Column:
+    """The difference to the best in percent: = below half a percent, else signed and rounded half up by its size."""
+    p = (value - best) / best * 100.0
+    return F.when(F.abs(p) < 0.5, "=").otherwise(F.concat(F.when(p < 0, "-").otherwise("+"), F.floor(F.abs(p) + 0.5).cast("long").cast("string"), F.lit("%")))
 
 
 def dry_run(items: DataFrame, group: str = "group_id") -> DataFrame:
@@ -106,10 +146,36 @@ def numbered_names(items: DataFrame, name: str = "name", ext: str = "ext", idx:
     return items.withColumn("export_name", F.concat(F.col(name), F.when(k > 1, F.format_string(" (%d)", k)).otherwise(""), F.lit("."), F.col(ext)))
 
 
-def csv_lines(items: DataFrame, columns: list[str]) -> DataFrame:
-    """One quoted CSV line for each row; quotes doubled, arrays joined by "; "."""
+def csv_lines(items: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """One quoted CSV line for each row (beside the columns to keep); quotes doubled, arrays joined by "; "."""
     def cell(c: str) -> Column:
         col = F.array_join(c, "; ") if dict(items.dtypes)[c].startswith("array") else F.col(c).cast("string")
         return F.concat(F.lit('"'), F.replace(F.coalesce(col, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
-    return items.select(F.concat_ws(",", *(cell(c) for c in columns)).alias("line"))
+    return items.select(*(keep or []), F.concat_ws(",", *(cell(c) for c in columns)).alias("line"))
+
+
+def results_union(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """The results (id, ...) of several searches in one table, all rows, with their kind."""
+    out = None
+    for kind, df in parts:
+        named = df.withColumn("kind", F.lit(kind))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
+
+
+def tag_union(items: DataFrame, group: str, tags: str) -> DataFrame:
+    """(group, tags): all tags of a group's items, sorted."""
+    return items.select(group, F.explode(tags).alias("_t")).groupBy(group).agg(F.sort_array(F.collect_set("_t")).alias("tags"))
+
+
+def added(own: Column, others: Column) -> Column:
+    """What a merge would add to a list: values of the others that it lacks, in their order."""
+    return F.array_except(others, own)
+
+
+def prune_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Sets (set_id, ids) of a not-a-match list whose ids are all known (id)."""
+    each = sets.select("set_id", F.explode("ids").alias("id"))
+    broken = each.join(ids.select("id").distinct(), "id", "left_anti").select("set_id").distinct()
+    return sets.join(broken, "set_id", "left_anti")

@@ -9,6 +9,8 @@ import dataclasses
 import math
 from dataclasses import dataclass
 
+from kindred.operators.matching import MatchSettings
+
 
 @dataclass(frozen=True)
 class ScanSettings:
@@ -66,12 +68,44 @@ class ScanSettings:
 #: Ranges of the numbers that have one.
 RANGES = {"thumbnails": (1, 64), "percent": (0, 100), "same_folder_depth": (1, 64), "phash_sample_ratio_percent": (1, 100), "ai_percent": (50, 100), "ai_partial_hit_percent": (70, 99)}
 KNOBS = ("percent", "compare_horizontally_flipped", "ignore_black_pixels", "ignore_white_pixels", "enable_partial_clip_detection", "use_ai_matching", "enable_ai_partial_detection")
-#: The knobs of each profile, in the order of KNOBS.
+#: The knobs of each profile.
 PROFILES = {
-    "exact_and_near": (98, False, False, False, False, False, False),
-    "edited_and_altered": (92, True, True, True, False, False, False),
-    "ai_scan": (92, True, True, True, False, True, False),
-    "deep_clean": (92, True, True, True, True, True, True),
+    "exact_and_near": {
+        "percent": 98,
+        "compare_horizontally_flipped": False,
+        "ignore_black_pixels": False,
+        "ignore_white_pixels": False,
+        "enable_partial_clip_detection": False,
+        "use_ai_matching": False,
+        "enable_ai_partial_detection": False,
+    },
+    "edited_and_altered": {
+        "percent": 92,
+        "compare_horizontally_flipped": True,
+        "ignore_black_pixels": True,
+        "ignore_white_pixels": True,
+        "enable_partial_clip_detection": False,
+        "use_ai_matching": False,
+        "enable_ai_partial_detection": False,
+    },
+    "ai_scan": {
+        "percent": 92,
+        "compare_horizontally_flipped": True,
+        "ignore_black_pixels": True,
+        "ignore_white_pixels": True,
+        "enable_partial_clip_detection": False,
+        "use_ai_matching": True,
+        "enable_ai_partial_detection": True,
+    },
+    "deep_clean": {
+        "percent": 92,
+        "compare_horizontally_flipped": True,
+        "ignore_black_pixels": True,
+        "ignore_white_pixels": True,
+        "enable_partial_clip_detection": True,
+        "use_ai_matching": True,
+        "enable_ai_partial_detection": True,
+    },
 }
 SCOPE_KEYS = ("scope_mode", "scope_folder_ids", "scope_tags", "scope_tags_match_all", "exclude_folder_ids", "exclude_tags")
 
@@ -103,7 +137,7 @@ def normalised(saved: dict) -> ScanSettings:
 
 
 def active_profile(s: ScanSettings) -> str:
-    knobs = tuple(getattr(s, k) for k in KNOBS)
+    knobs = {k: getattr(s, k) for k in KNOBS}
     return next((name for name, values in PROFILES.items() if values == knobs), "custom")
 
 
@@ -112,7 +146,7 @@ def with_profile(s: ScanSettings, name: str) -> ScanSettings:
     if name == "custom":
         return dataclasses.replace(s, **dict(s.custom_knobs))
     kept = tuple((k, getattr(s, k)) for k in KNOBS) if active_profile(s) == "custom" else s.custom_knobs
-    return dataclasses.replace(s, custom_knobs=kept, **dict(zip(KNOBS, PROFILES[name], strict=True)))
+    return dataclasses.replace(s, custom_knobs=kept, **PROFILES[name])
 
 
 def with_library(s: ScanSettings, key: str) -> ScanSettings:
@@ -122,3 +156,18 @@ def with_library(s: ScanSettings, key: str) -> ScanSettings:
     scopes = dict(s.library_scopes) | {s.scope_library_key: tuple((k, getattr(s, k)) for k in SCOPE_KEYS)}
     fresh = {k: getattr(ScanSettings(), k) for k in SCOPE_KEYS} | dict(scopes.pop(key, ()))
     return dataclasses.replace(s, scope_library_key=key, library_scopes=tuple(scopes.items()), **fresh)
+
+
+def match_settings(s: ScanSettings) -> MatchSettings:
+    """What of the settings decides a match."""
+    return MatchSettings(
+        positions=s.thumbnails, percent=s.percent, use_phash=s.use_phash, combine=s.combine_gray_phash, quorum=s.phash_sample_ratio_percent / 100, flipped=s.compare_horizontally_flipped, ignore_black=s.ignore_black_pixels,
+        ignore_white=s.ignore_white_pixels, use_ai=s.use_ai_matching, ai_percent=s.ai_percent, folder_mode=s.folder_match_mode, folder_depth=s.same_folder_depth, exclude_hard_links=s.exclude_hard_links,
+        tolerance_percent=s.percent_duration_difference, tolerance_least=s.duration_difference_min_seconds, tolerance_most=s.duration_difference_max_seconds,
+    )
+
+
+def workers(cores: int, wanted: int = 0) -> int:
+    """Tasks at once on a machine: four fifths of its cores, some left to others, unless a number is wanted."""
+    reserve = 2 if cores >= 8 else 1 if cores >= 2 else 0
+    return wanted if wanted > 0 else max(1, min(cores - reserve, math.ceil(0.8 * cores)))

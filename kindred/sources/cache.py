@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.sources import store
+
 #: Fixed flag bits of an entry.
 IS_IMAGE, EXCLUDED, THUMBNAIL_ERROR, METADATA_ERROR, TOO_DARK = 1, 2, 4, 8, 16
 NO_AUDIO, AUDIO_ERROR, SILENT = 32, 64, 128
@@ -67,6 +69,65 @@ def stats(entries: DataFrame) -> DataFrame:
     )
 
 
+def derived_stats(entries: DataFrame) -> DataFrame:
+    """Counts of what entries (flags, gray, audio, emb: maps and arrays, null if there is none) have derived: fingerprinted, frames, audio, embeddings."""
+    number = lambda c: F.coalesce(F.size(F.map_keys(c)), F.lit(0))
+    return entries.agg(
+        F.count_if(number("gray") > 0).alias("fingerprinted"),
+        F.coalesce(F.sum(number("gray")), F.lit(0)).alias("frames"),
+        F.count_if(F.coalesce(F.size("audio"), F.lit(0)) > 0).alias("audio"),
+        F.coalesce(F.sum(number("emb")), F.lit(0)).alias("embeddings"),
+    )
+
+
+def cleanup(entries: DataFrame, library: DataFrame, keep_tombstones: bool) -> DataFrame:
+    """entries without those that the library (id) lacks; tombstones stay if they are remembered."""
+    lacking = entries.join(library.select("id").distinct(), "id", "left_anti")
+    gone = lacking.filter(~has(F.col("flags"), TOMBSTONE)) if keep_tombstones else lacking
+    return entries.join(gone.select("id"), "id", "left_anti")
+
+
+def _marked(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    some = ids.select(F.col("id").alias("_i")).distinct()
+    return entries.join(some, entries.id == some["_i"], "left")
+
+
+def set_flag(entries: DataFrame, ids: DataFrame, bit: int, value: bool = True) -> DataFrame:
+    """entries with a flag set, or cleared, for the given ids: exclusion, tombstones and their like."""
+    flags = with_bits(F.col("flags"), bit) if value else without_bits(F.col("flags"), bit)
+    return _marked(entries, ids).withColumn("flags", F.when(F.col("_i").isNotNull(), flags).otherwise(F.col("flags"))).drop("_i")
+
+
+def exclude(entries: DataFrame, ids: DataFrame, value: bool = True) -> DataFrame:
+    """entries with the given ids excluded (or taken in again); ids without an entry get an empty one."""
+    fresh = ids.select("id").distinct().join(entries.select("id"), "id", "left_anti")
+    new = fresh.select("id", *(F.lit(0).alias(c) if c == "flags" else F.lit(None).cast(t).alias(c) for c, t in entries.dtypes if c != "id"))
+    return set_flag(entries.unionByName(new), ids, EXCLUDED, value)
+
+
+def mark_deleted(entries: DataFrame, ids: DataFrame, remember: bool) -> DataFrame:
+    return set_flag(entries, ids, TOMBSTONE) if remember else entries
+
+
+def restore_deleted(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    return set_flag(entries, ids, TOMBSTONE, False)
+
+
+def clear_entries(entries: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """``clear_derived`` for the given ids only."""
+    some = entries.join(ids.select("id").distinct(), "id", "left_semi")
+    return entries.join(ids.select("id"), "id", "left_anti").unionByName(clear_derived(some, columns))
+
+
+def excluded(entries: DataFrame) -> DataFrame:
+    return entries.filter(has(F.col("flags"), EXCLUDED)).select("id", "name", "ext")
+
+
+def failed(entries: DataFrame) -> DataFrame:
+    """(id): entries to try again."""
+    return entries.filter(has(F.col("flags"), FAILED)).select("id")
+
+
 def upsert(entries: DataFrame, changes: DataFrame) -> DataFrame:
     """entries with the rows of changes (same columns) in place of theirs of the same id."""
     return entries.join(changes.select("id"), "id", "left_anti").unionByName(changes)
@@ -95,7 +156,6 @@ def export_json(entries: DataFrame, path: str) -> None:
     entries.withColumn("gray", F.transform_values("gray", lambda k, v: F.base64(v))).write.mode("overwrite").json(path)
 
 
-def save(entries: DataFrame, path: str, shards: int = 64) -> None:
-    """Only the shards that entries touch are rewritten."""
-    sharded = entries.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    sharded.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+def save(entries: DataFrame, path: str) -> int:
+    """Rows replace the table's rows of their ids; only the shards they touch are rewritten (see ``store.save``)."""
+    return store.save(entries, path)

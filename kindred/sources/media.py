@@ -55,43 +55,107 @@ def audio_stream(streams: Column) -> Column:
     return F.get(F.filter(audio, lambda s: s["channels"] == F.array_max(F.transform(audio, lambda x: x["channels"]))), F.lit(0))
 
 
-def _tiff_date(blob: bytes) -> str | None:
-    """DateTimeOriginal, else DateTime, of a TIFF block."""
+#: Kinds of values of a tag, by number: (bytes, form).
+_KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II")}
+
+
+def _directory(blob: bytes, order: str, at: int) -> dict[int, object]:
+    """The tags of a directory: texts, numbers, fractions (as "n/d"); other kinds are left out."""
+    out = {}
+    for i in range(struct.unpack_from(order + "H", blob, at)[0]):
+        tag, kind, count = struct.unpack_from(order + "HHI", blob, at + 2 + 12 * i)
+        if kind not in _KINDS:
+            continue
+        size, form = _KINDS[kind]
+        place = at + 10 + 12 * i
+        if size * count > 4:
+            place = struct.unpack_from(order + "I", blob, place)[0]
+        if place + size * count > len(blob):
+            continue
+        if kind == 2:
+            out[tag] = blob[place : place + count].split(b"\0")[0].decode("ascii", "replace")
+        elif kind == 5:
+            pairs = [struct.unpack_from(order + "II", blob, place + 8 * k) for k in range(count)]
+            out[tag] = ", ".join(f"{n}/{d}" for n, d in pairs)
+        else:
+            values = struct.unpack_from(f"{order}{count}{form}", blob, place)
+            out[tag] = values[0] if len(values) == 1 else ", ".join(map(str, values))
+    return out
+
+
+def tiff_tags(blob: bytes) -> dict[int, object]:
+    """All tags of a TIFF block's first directory and of its Exif directory."""
     order = {b"II": "<", b"MM": ">"}.get(blob[:2])
     if order is None:
-        return None
-
-    def tags(at: int) -> dict[int, tuple[int, int, bytes]]:
-        n = struct.unpack_from(order + "H", blob, at)[0]
-        return {t: (k, c, blob[at + 10 + 12 * i : at + 14 + 12 * i]) for i in range(n) for t, k, c in [struct.unpack_from(order + "HHI", blob, at + 2 + 12 * i)]}
+        return {}
+    try:
+        main = _directory(blob, order, struct.unpack_from(order + "I", blob, 4)[0])
+        return main | (_directory(blob, order, main[0x8769]) if isinstance(main.get(0x8769), int) else {})
+    except struct.error:
+        return {}
 
-    def text(tag: tuple[int, int, bytes]) -> str:
-        at = struct.unpack(order + "I", tag[2])[0]
-        return blob[at : at + tag[1]].split(b"\0")[0].decode("ascii", "replace")
 
-    try:
-        main = tags(struct.unpack_from(order + "I", blob, 4)[0])
-        sub = tags(struct.unpack(order + "I", main[0x8769][2])[0]) if 0x8769 in main else {}
-        found = sub.get(0x9003) or main.get(0x0132)
-        return text(found) if found else None
-    except (struct.error, KeyError):
-        return None
+def _tiff_date(blob: bytes) -> str | None:
+    """DateTimeOriginal, else DateTime, of a TIFF block."""
+    tags = tiff_tags(blob)
+    found = tags.get(0x9003) or tags.get(0x0132)
+    return found if isinstance(found, str) else None
 
 
 def exif_block(content: bytes) -> bytes | None:
-    """The TIFF block of a JPEG, PNG, WebP or TIFF file."""
+    """The TIFF block of a JPEG, PNG, WebP or TIFF file, wherever in the file its segment or chunk stands."""
     if content[:4] in (b"II*\0", b"MM\0*"):
         return content
-    at = content.find(b"Exif\0\0", 0, 1 << 18) if content[:2] == b"\xff\xd8" else -1
-    if at >= 0:
-        return content[at + 6 :]
-    if content[:8] == b"\x89PNG\r\n\x1a\n" and (at := content.find(b"eXIf")) >= 0:
-        return content[at + 4 :]
-    if content[:4] == b"RIFF" and (at := content.find(b"EXIF")) >= 0:
-        return content[at + 8 :]
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(content) and content[at] == 0xFF:
+            mark = content[at + 1]
+            if mark == 0xFF:  # padding
+                at += 1
+                continue
+            if mark in (0xDA, 0xD9):  # the picture itself, or its end
+                return None
+            size = struct.unpack_from(">H", content, at + 2)[0]
+            if mark == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
+                return content[at + 10 : at + 2 + size]
+            at += 2 + size
+        return None
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(content):
+            size, kind = struct.unpack_from(">I", content, at)[0], content[at + 4 : at + 8]
+            if kind == b"eXIf":
+                return content[at + 8 : at + 8 + size]
+            at += 12 + size
+        return None
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+        at = 12
+        while at + 8 <= len(content):
+            kind, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+            if kind == b"EXIF":
+                block = content[at + 8 : at + 8 + size]
+                return block[6:] if block[:6] == b"Exif\0\0" else block
+            at += 8 + size + size % 2
     return None
 
 
+@F.pandas_udf(T.MapType(T.IntegerType(), T.StringType()))
+def exif_tags(content: pd.Series) -> pd.Series:
+    """All EXIF tags of each file's bytes, by number."""
+    return pd.Series([{k: str(v) for k, v in tiff_tags(b).items()} if c is not None and (b := exif_block(bytes(c))) else {} for c in content], dtype=object)
+
+
+def container_tags(probe_json: Column) -> Column:
+    """All tags of a probe's container, by lower-case name."""
+    tags = F.coalesce(F.from_json(probe_json, "struct<format:struct<tags:map<string,string>>>")["format"]["tags"], F.create_map().cast("map<string,string>"))
+    return F.transform_keys(tags, lambda k, v: F.lower(k))
+
+
+def creation_time(probe_json: Column) -> Column:
+    """When a container was made, by its tag; null if there is none or it is no time."""
+    return F.try_to_timestamp(F.try_element_at(container_tags(probe_json), F.lit("creation_time")))
+
+
 @F.pandas_udf(T.StringType())
 def exif_date_text(content: pd.Series) -> pd.Series:
     """The raw EXIF date of each file's bytes."""
