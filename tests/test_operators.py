@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.expression import ExpressionError, compile_expression, tokens
 from kindred.operators import grouping, pairs, results, scope, selection
-from kindred.sources import cache, media
+from kindred.sources import cache, media, store
 
 
 def test_representatives_gate_merges():
@@ -157,4 +157,11 @@ def test_stream_upsert(spark, tmp_path):
     for rows in ([("a", 1, 1), ("b", 1, 1)], [("a", 2, 2)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         upsert_stream(read_items(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [("a", 2, 2), ("b", 1, 1)]
+    assert sorted(tuple(r) for r in store.load(spark, str(tmp_path / "t"), schema).collect()) == [("a", 2, 2), ("b", 1, 1)]
+    # a table that was lost isn't replaced by the next batch alone
+    import shutil
+
+    shutil.rmtree(tmp_path / "t")
+    spark.createDataFrame([("c", 1, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="there is no table"):
+        upsert_stream(read_items(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()

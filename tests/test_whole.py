@@ -1,9 +1,7 @@
-"""Registered queries against plain versions over whole tables and whole texts.
-
-The registered SQL of some of them still has the cuts that the queries had; what is expected here has none.
-"""
+"""Registered queries against plain versions over whole tables and whole texts."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 from kindred.operators import scope
@@ -26,18 +24,35 @@ def expected_hamming(rows):
     return sorted((a, b, (x ^ y).bit_count()) for k, (a, x) in enumerate(h) for b, y in h[k + 1 :] if (x ^ y).bit_count() <= 3)
 
 
+def all_pairs(spark, folder):
+    """Every pair of documents that pairs of classes and their members stand for; the links that are told must be as many."""
+    classes, links = {}, {}
+    for r in catalogue.QUERIES["hamming_links"](spark, folder).collect():
+        classes.setdefault(r.class_id, []).append(r.id)
+        links[r.id] = r.links
+    out = [(x, y, 0) for m in classes.values() for x in m for y in m if x < y]
+    for a, b, n in catalogue.QUERIES["hamming_pairs"](spark, folder).collect():
+        out += [(min(x, y), max(x, y), n) for x in classes[a] for y in classes[b]]
+    told = defaultdict(int)
+    for x, y, _ in out:
+        told[x] += 1
+        told[y] += 1
+    assert all(links[i] == told[i] for i in links)
+    return sorted(out)
+
+
 def test_hamming_pairs_of_whole_texts(spark, tmp_path):
     body = " ".join(f"word{k % 90}" for k in range(400))
     rows = [(1, body), (2, "Xord0" + body[5:]), (3, "word0 wo" + " other" * 300), (4, "word0 wo" + " again" * 300), (5, None), (6, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(map(tuple, catalogue.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()))
+    got = all_pairs(spark, str(tmp_path))
     assert got == expected_hamming(rows)
     assert {g[:2] for g in got} == {(1, 2), (5, 6)}  # an early change is found, a common beginning is none
 
 
 def test_hamming_pairs_of_the_tables(spark):
     _, rows = duck_rows("SELECT doc_id, text FROM documents", FOLDER)
-    got = sorted(map(tuple, catalogue.QUERIES["hamming_pairs"](spark, FOLDER).collect()))
+    got = all_pairs(spark, FOLDER)
     assert got == expected_hamming([(r["doc_id"], r["text"]) for r in rows])
 
 
@@ -51,6 +66,7 @@ def test_folder_closure_of_over_a_million_rows(spark):
     folders = spark.range(1, 80_001).selectExpr("id", "CASE WHEN id >= 2 THEN id div 2 END AS parent")
     assert scope.folder_closure(folders).count() == sum(k.bit_length() for k in range(1, 80_001))
 
+
 def test_not_a_match_keeps_large_groups(spark):
     _, rows = duck_rows("SELECT o_custkey AS g, o_orderkey AS k FROM orders WHERE o_custkey IS NOT NULL", FOLDER)
     groups, sets = defaultdict(list), defaultdict(set)
@@ -61,3 +77,63 @@ def test_not_a_match_keeps_large_groups(spark):
     expected = {g: sorted(ks) for g, ks in groups.items() if len(ks) >= 2 and not any(s.issuperset(ks) for s in sets.values())}
     assert any(len(ks) > 12 for ks in expected.values())
     assert {r.group_id: r.ids for r in catalogue.QUERIES["not_a_match"](spark, FOLDER).collect()} == expected
+
+
+def frame(text):
+    n = len(text)
+    return [sum(map(ord, text[k * n // 1024 : max((k + 1) * n // 1024, k * n // 1024 + 1)])) % 256 if n else 0 for k in range(1024)]
+
+
+def test_frames_hold_the_whole_text(spark, tmp_path):
+    body = " ".join(f"word{k % 90}" for k in range(900))
+    rows = [(1, body), (2, body[:-3] + "xyz"), (3, body[:2000] + "other " * 500), (4, ""), (5, None), (6, "é" * 3)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.px for r in catalogue.items(spark, str(tmp_path)).collect()}
+    assert got == {i: frame(t or "") for i, t in rows} and got[1] != got[2]
+
+
+def test_audio_partials_of_whole_texts(spark, tmp_path):
+    """Clips inside long texts against a plain version of the same rule: a shared run, the length's share, the best offset."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    long = [rng.choice(words) for _ in range(900)]
+    clip = long[700:880]
+    noisy = [w if k % 9 else rng.choice(words) for k, w in enumerate(clip)]
+    rows = [(1, long, "en"), (2, clip, "en"), (3, noisy, "en"), (4, clip, "fr"), (5, long[:880], "en"), (6, long[:50], "en"), (7, [rng.choice(words) for _ in range(300)], "en"), (8, [], "en"), (9, clip[:90] + long[:90], "en")]
+    spark.createDataFrame([(i, " ".join(w), g, "s", 0) for i, w, g in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    code = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+    expected = []
+    for i, a, g in rows:
+        for j, b, h in rows:
+            if i == j or g != h or not len(a) * 0.1 <= len(b) < len(a) * 0.95 or not {tuple(a[k : k + 4]) for k in range(len(a) - 3)} & {tuple(b[k : k + 4]) for k in range(len(b) - 3)}:
+                continue
+            sims = [sum(32 - (code(x) ^ code(y)).bit_count() for x, y in zip(a[o:], b)) / 32 / len(b) for o in range(len(a) - len(b) + 1)]
+            if max(sims) >= 0.8:
+                expected.append((i, j, round(max(sims), 6), sims.index(max(sims))))
+    got = sorted(map(tuple, catalogue.QUERIES["audio_sliding_window"](spark, str(tmp_path)).collect()))
+    assert got == expected and {(1, 2), (1, 3), (5, 2)} <= {g[:2] for g in got}
+
+
+def test_phash_quorum_against_all_pairs(spark):
+    import numpy as np
+
+    from kindred.functions import kernels as K
+
+    _, rows = duck_rows("SELECT doc_id, coalesce(text, '') AS text FROM documents", FOLDER)
+    hashes = {}
+    for r in rows:
+        t = r["text"]
+        thirds = [frame(t[len(t) * k // 3 : len(t) * (k + 1) // 3]) for k in range(3)]
+        hashes[r["doc_id"]] = tuple(K.phash_bits(np.array(thirds)).view(np.uint64).tolist())
+    rep = {}
+    for i in sorted(hashes):
+        rep.setdefault(hashes[i], i)
+    expected = [(rep[h], i, 0.0) for i, h in hashes.items() if rep[h] != i]
+    reps = sorted(rep.values())
+    for n, a in enumerate(reps):
+        for b in reps[n + 1 :]:
+            gaps = [(x ^ y).bit_count() for x, y in zip(hashes[a], hashes[b])]
+            if sum(g <= 5 for g in gaps) >= 2:
+                expected.append((a, b, round(sum(gaps) / 192, 6)))
+    got = sorted((a, b, round(d, 5)) for a, b, d in catalogue.QUERIES["phash_quorum"](spark, FOLDER).collect())
+    assert got == sorted((a, b, round(d, 5)) for a, b, d in expected) and got
