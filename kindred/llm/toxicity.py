@@ -34,12 +34,12 @@ GRAMS = (3, 4, 5)
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 3000, 6000, 64 << 20
 #: Words of sampled texts that an n-gram must stand in, each counted once in a text.
 MIN_TEXTS = 5
-ROUNDS, LAYER_RATE = 200, 0.1
+ROUNDS, LAYER_RATE = 100, 0.1
 #: Shrinkage that is tried, and what an n-gram must tell to be trained at all, as shares of what the strongest tells.
-SPARSITY, SCREEN = (0.4, 0.2, 0.1, 0.05), 0.05
+SPARSITY, SCREEN = (0.2, 0.1, 0.05), 0.08
 VALIDATE = 5
 #: Rounds without a better validation loss after which training stops.
-PATIENCE = 30
+PATIENCE = 20
 #: Bytes of texts scored at once.
 SLICE = 1 << 18
 _PRIME = np.uint32(0x01000193)
