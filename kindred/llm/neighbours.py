@@ -47,7 +47,7 @@ BLOCK = 8192
 LEAF = 32
 #: Norms of a part lie within this ratio; PARTS parts at most, the last takes all smaller ones.
 RATIO, PARTS = 1.15, 32
-#: Leaves opened at once; cells opened in the first round, and growth from round to round.
+#: Leaves opened first (then twice as many each time), and growth of the number of cells from round to round.
 STEP, GROWTH = 4, 8
 
 
@@ -134,9 +134,12 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, norm: float):
         self.norm, leaves = norm, KdTree(points, LEAF).leaves
+        order = np.concatenate(leaves)
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        ends = np.cumsum([len(r) for r in leaves])
+        self.rows = [np.arange(e - len(r), e) for e, r in zip(ends.tolist(), leaves, strict=True)]
         self.low = np.array([points[r].min(axis=0) for r in leaves])
         self.high = np.array([points[r].max(axis=0) for r in leaves])
-        self.parts = [(ids[r], vectors[r], points[r]) for r in leaves]
         self.bound = chi_square_bound()
         self.verified = 0
 
@@ -146,27 +149,27 @@ class Index:
         order = np.argsort(distance)
         scale = 2 / (self.norm * math.sqrt(float(q @ q)))
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for a in range(0, len(order), STEP):
+        a, step = 0, STEP
+        while a < len(order):
             radius = self.bound * max(2 - scale * least, 0) if least > -math.inf else math.inf
-            opened = [x for x in order[a : a + STEP].tolist() if distance[x] <= radius]
-            if not opened:
+            opened = order[a : a + step]
+            opened = opened[distance[opened] <= radius]
+            if not len(opened):
                 break
-            found_ids, found = [ids], [scores]
-            for x in opened:
-                names, vectors, points = self.parts[x]
-                gap = points - p
-                near = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= radius)
-                if len(near):
-                    s = vectors[near] @ q if len(near) < len(names) else vectors @ q
-                    self.verified += len(near)
-                    good = s >= least
-                    found_ids.append(names[near][good])
-                    found.append(s[good])
-            ids, scores = np.concatenate(found_ids), np.concatenate(found)
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                least = max(least, float(scores[-1]))
+            near = np.concatenate([self.rows[x] for x in opened.tolist()])
+            if radius < math.inf:
+                gap = self.points[near] - p
+                near = near[np.einsum("ij,ij->i", gap, gap) <= radius]
+            s = self.vectors[near] @ q
+            self.verified += len(near)
+            good = np.flatnonzero(s >= least)
+            if len(good):
+                ids, scores = np.concatenate([ids, self.ids[near[good]]]), np.concatenate([scores, s[good]])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
+                if len(ids) == k:
+                    least = max(least, float(scores[-1]))
+            a, step = a + step, 2 * step
         return ids, scores
 
 
