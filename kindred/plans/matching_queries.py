@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred.functions import kernels as K
-from kindred.operators import matching, partials, snapshots
+from kindred.operators import building, matching, partials, snapshots
 from kindred.operators.matching import MatchSettings
 from kindred.plans.registry import query, read
 
@@ -147,6 +147,17 @@ def pair_diagnostic(spark, d):
     return shown.select("a", "b", "duration_gap", "folder_ok", "hard_link", F.round(F.col("ai").cast("double"), 6).alias("ai"), F.col("normal.matches").alias("normal"), F.col("flipped.matches").alias("flipped"), "hash_distances", "match")
 
 
+_NEAR_ONES = MatchSettings(percent=88, flipped=True, **_PLAIN)
+
+
+@query()
+def matched_groups(spark, d):
+    """Groups whose representatives and majorities the matcher likes; tested against a plain replay."""
+    items = matching.with_mirrored(snapshots_of(spark, d))
+    found = matching.matches(items, _NEAR_ONES).select("a", "b", "difference", "flags")
+    return building.matched_groups(found, items, _NEAR_ONES).withColumn("difference", F.round("difference", 6))
+
+
 # Folders and files
 
 
