@@ -116,8 +116,10 @@ def exif_block(content: bytes) -> bytes | None:
             if mark in (0xDA, 0xD9):  # the picture itself, or its end
                 return None
             size = struct.unpack_from(">H", content, at + 2)[0]
-            if mark == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
-                return content[at + 10 : at + 2 + size]
+            if mark == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":  # a segment that tells no length goes to the end
+                return content[at + 10 : at + 2 + size if size >= 8 else len(content)]
+            if size < 2:
+                return None
             at += 2 + size
         return None
     if content[:8] == b"\x89PNG\r\n\x1a\n":
