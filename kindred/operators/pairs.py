@@ -13,6 +13,8 @@ from kindred.functions import kernels as K
 
 #: Rows of a band that one task compares with as many others.
 BLOCK = 512
+#: The part of a clip, in percent, that is compared at every offset first; values that are compared at once.
+HEAD, AT_ONCE = 45, 1 << 22
 
 
 def band(duration: F.Column, percent: float) -> F.Column:
@@ -202,21 +204,33 @@ def containment_candidates(items: DataFrame, least: float, most: float = 0.95) -
 def sliding_window(pairs: DataFrame, least: float) -> DataFrame:
     """(source, clip, similarity, offset) of pairs with fingerprints (long_fp, short_fp: uint32 as long): the first best offset.
 
-    Similarity at an offset is the mean share of equal bits; offsets below ``least`` give (0, 0).
+    Similarity at an offset is the mean share of equal bits; offsets below ``least`` give (0, 0). An offset that the first part of the
+    clip already keeps from ``least`` is left there; offsets are worked through in pieces, so memory doesn't grow with a track.
     """
 
+    def best_of(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
+        n = len(b)
+        if not n or n > len(a):
+            return 0.0, 0
+        windows = np.lib.stride_tricks.sliding_window_view(a, n)
+        head = max(1, n * HEAD // 100)
+        best = (0.0, 0)
+        for lo in range(0, len(windows), max(1, AT_ONCE // n)):
+            part = windows[lo : lo + max(1, AT_ONCE // n)]
+            same = 32 * n - np.bitwise_count(part[:, :head] ^ b[:head]).sum(axis=1, dtype=np.int64)
+            alive = np.flatnonzero(same / (32.0 * n) >= max(least, best[0]))
+            if not len(alive):
+                continue
+            same = same[alive] - np.bitwise_count(part[alive, head:] ^ b[head:]).sum(axis=1, dtype=np.int64)
+            i = int(same.argmax())
+            s = float(same[i] / (32.0 * n))
+            if s >= least and s > best[0]:
+                best = (s, lo + int(alive[i]))
+        return best
+
     def run(batches):
         for pdf in batches:
-            best = []
-            for long_fp, short_fp in zip(pdf["long_fp"], pdf["short_fp"], strict=True):
-                a, b = np.asarray(long_fp, np.uint32), np.asarray(short_fp, np.uint32)
-                if not len(b) or len(b) > len(a):
-                    best.append((0.0, 0))
-                    continue
-                same = 32 * len(b) - np.bitwise_count(np.lib.stride_tricks.sliding_window_view(a, len(b)) ^ b).sum(axis=1, dtype=np.int64)
-                i = int(same.argmax())
-                s = same[i] / (32.0 * len(b))
-                best.append((float(s), i) if s >= least else (0.0, 0))
+            best = [best_of(np.asarray(x, np.uint32), np.asarray(y, np.uint32)) for x, y in zip(pdf["long_fp"], pdf["short_fp"], strict=True)]
             yield pd.DataFrame({"source": pdf["source"], "clip": pdf["clip"], "similarity": [x[0] for x in best], "offset": [x[1] for x in best]})
 
     return pairs.select("source", "clip", "long_fp", "short_fp").mapInPandas(run, "source long, clip long, similarity double, offset long")

@@ -124,6 +124,24 @@ def test_sliding_window_finds_a_clip(spark):
     assert [(r.similarity, r.offset) for r in pairs.sliding_window(df, 0.8).orderBy("clip").collect()] == [(1.0, 20), (0.0, 0)]
 
 
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.8])
+def test_sliding_window_equals_a_plain_one(spark, monkeypatch, least):
+    """Leaving hopeless offsets early and working in pieces changes nothing."""
+    monkeypatch.setattr(pairs, "AT_ONCE", 64)
+    rng = random.Random(int(least * 10))
+    rows = []
+    for k in range(60):
+        a = [rng.getrandbits(32) for _ in range(rng.randint(1, 60))]
+        o = rng.randrange(len(a))
+        b = [x if rng.random() < 0.8 else rng.getrandbits(32) for x in a[o : o + rng.randint(1, 30)]] if k % 3 else [0] * rng.randint(0, 5)
+        rows.append((k, k, a if k % 5 else a + a, b))
+    got = {r.source: (r.similarity, r.offset) for r in pairs.sliding_window(spark.createDataFrame(rows, "source long, clip long, long_fp array<long>, short_fp array<long>"), least).collect()}
+    for k, _, a, b in rows:
+        sims = [sum(32 - (x ^ y).bit_count() for x, y in zip(a[o:], b)) / (32.0 * len(b)) for o in range(len(a) - len(b) + 1)] if b else []
+        top = max(sims, default=0.0)
+        assert got[k] == ((top, sims.index(top)) if sims and top >= least and top > 0 else (0.0, 0))
+
+
 def test_cache_round_trip(spark, tmp_path):
     frame = bytes(range(256)) * 4
     df = spark.createDataFrame([("a1", "n", "mp4", 5, 7, 0, {"0.5": frame})], "id string, name string, ext string, size long, mtime long, flags int, gray map<string,binary>")
