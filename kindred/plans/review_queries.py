@@ -194,8 +194,8 @@ def live_enrichment(spark, d):
 
 
 @query("""WITH e AS (SELECT event_id % 300 AS id, 1 + event_id % 3 AS channels, event_id FROM events), s AS (SELECT event_id, id % 7 = 0 AS im, channels FROM e)
-SELECT event_id AS id, im AS is_image, CASE WHEN im THEN 0 ELSE 61 END AS duration, CASE WHEN im THEN 'jpg' ELSE 'h264' END AS format, CASE WHEN im THEN '640x360' ELSE '1280x720' END AS frame_size, CASE WHEN im THEN 1000 ELSE 2000 END AS frame_size_int, CASE WHEN im THEN 0 ELSE 2 END AS bit_rate,
-CASE WHEN im THEN '' ELSE 'aac' END AS audio_format, CASE WHEN im THEN 0 ELSE greatest(channels, 2) END AS audio_channels, CASE WHEN im THEN '' WHEN channels = 1 THEN '?, GER' ELSE 'ENG, GER' END AS audio_languages FROM s""")
+SELECT event_id AS id, im AS is_image, CASE WHEN im THEN 0 ELSE 61 END::BIGINT AS duration, CASE WHEN im THEN 'jpg' ELSE 'h264' END AS format, CASE WHEN im THEN '640x360' ELSE '1280x720' END AS frame_size, CASE WHEN im THEN 1000 ELSE 2000 END AS frame_size_int, CASE WHEN im THEN 0 ELSE 2 END::BIGINT AS bit_rate,
+CASE WHEN im THEN '' ELSE 'aac' END AS audio_format, CASE WHEN im THEN 0 ELSE greatest(channels, 2) END::INTEGER AS audio_channels, CASE WHEN im THEN '' WHEN channels = 1 THEN '?, GER' ELSE 'ENG, GER' END AS audio_languages FROM s""")
 def described_results(spark, d):
     e = read(spark, d, "events")
     text = F.concat(
