@@ -63,41 +63,51 @@ def differences(a: Column, b: Column, ignore_black: bool, ignore_white: bool) ->
     return F.zip_with(a, b, lambda x, y: (K.masked_difference(x, y, ignore_black, ignore_white) if masked else K.mean_difference(x, y)).cast("float"))
 
 
-def gray_verdict(a: Column, b: Column, s: MatchSettings) -> Column:
-    """struct(matches, difference) of frames at all positions: their summed differences stay within the limit; null differences never match."""
-    total = F.aggregate(differences(a, b, s.ignore_black, s.ignore_white), _single(0), lambda t, d: (t + d).cast("float"))
+def gray_verdict(d: Column, s: MatchSettings) -> Column:
+    """struct(matches, difference) of the differences at all positions: their sum stays within the limit; null differences never match."""
+    total = F.aggregate(d, _single(0), lambda t, x: (t + x).cast("float"))
     return F.struct(F.coalesce(total <= _single(s.gray_limit()), F.lit(False)).alias("matches"), (total / F.lit(s.positions)).cast("float").alias("difference"))
 
 
-def image_verdict(a: Column, b: Column, s: MatchSettings) -> Column:
-    d = F.get(differences(a, b, s.ignore_black, s.ignore_white), F.lit(0))
-    return F.struct(F.coalesce(d <= _single(s.image_limit()), F.lit(False)).alias("matches"), d.alias("difference"))
+def image_verdict(d: Column, s: MatchSettings) -> Column:
+    first = F.get(d, F.lit(0))
+    return F.struct(F.coalesce(first <= _single(s.image_limit()), F.lit(False)).alias("matches"), first.alias("difference"))
 
 
-def hash_verdict(a: Column, b: Column, s: MatchSettings) -> Column:
+def hash_distances(a: Column, b: Column) -> Column:
+    """Differing bits at each position that both have."""
+    n = F.greatest(F.least(F.size(a), F.size(b)), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+
+
+def quorum_verdict(distance: Column, s: MatchSettings) -> Column:
     """struct(matches, difference): enough positions within the bit budget; the difference is the mean over all of them."""
-    n = F.least(F.size(a), F.size(b))
-    distance = F.zip_with(F.slice(a, F.lit(1), F.greatest(n, F.lit(0))), F.slice(b, F.lit(1), F.greatest(n, F.lit(0))), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    n = F.size(distance)
     need = F.greatest(F.lit(1), F.ceil((n * _single(min(max(s.quorum, 0.01), 1.0))).cast("float")))
     total = F.aggregate(distance, _single(0), lambda t, d: (t + (d / 64.0).cast("float")).cast("float"))
     enough = F.size(F.filter(distance, lambda d: d <= s.max_bits())) >= need
     return F.struct(F.coalesce((n > 0) & enough, F.lit(False)).alias("matches"), F.when(n > 0, (total / n).cast("float")).alias("difference"))
 
 
+def hash_verdict(a: Column, b: Column, s: MatchSettings) -> Column:
+    return quorum_verdict(hash_distances(a, b), s)
+
+
 _VERDICT = "struct<matches:boolean,difference:float,algorithms:int>"
 
 
-def classic_verdict(is_image: Column, fa: Column, fb: Column, pa: Column, pb: Column, s: MatchSettings) -> Column:
+def classic_verdict(is_image: Column, d: Column, distance: Column | None, s: MatchSettings) -> Column:
     """struct(matches, difference, algorithms): images by frames; videos by frames, hashes, or either (then the algorithms tell which)."""
-    image = image_verdict(fa, fb, s)
+    image = image_verdict(d, s)
     of_image = F.struct(image["matches"], F.coalesce(image["difference"], _single(1)), F.when(image["matches"] & F.lit(s.combine), F.lit(K.GRAY_MATCHED)).otherwise(0)).cast(_VERDICT)
-    gray, ph = gray_verdict(fa, fb, s), hash_verdict(pa, pb, s)
+    gray = gray_verdict(d, s)
     if s.combine:
+        ph = quorum_verdict(distance, s)
         least = F.least(F.when(gray["matches"], gray["difference"]), F.when(ph["matches"], ph["difference"]))
         flags = F.when(gray["matches"], F.lit(K.GRAY_MATCHED)).otherwise(0) + F.when(ph["matches"], F.lit(K.PHASH_MATCHED)).otherwise(0)
         video = F.struct(gray["matches"] | ph["matches"], F.coalesce(least, _single(1)), flags)
     else:
-        one = ph if s.use_phash else gray
+        one = quorum_verdict(distance, s) if s.use_phash else gray
         video = F.struct(one["matches"], F.when(one["matches"], one["difference"]).otherwise(_single(1)), F.lit(0))
     return F.when(is_image, of_image).otherwise(video.cast(_VERDICT))
 
@@ -135,19 +145,40 @@ def with_mirrored(items: DataFrame, hashed: bool = False) -> DataFrame:
     return out.withColumn("ph_flip", frame_hashes("frames_flip")) if hashed else out
 
 
-def verdict(a: Column, b: Column, s: MatchSettings) -> dict[str, Column]:
-    """The parts of a pair's verdict: normal, ai, flipped, and (match, difference, flags) of all together. a and b are structs of two items."""
-    normal = classic_verdict(a["is_image"], a["frames"], b["frames"], a["ph"], b["ph"], s)
+def measures(a: Column, b: Column, s: MatchSettings) -> dict[str, Column]:
+    """What verdicts are made of, the dear part: differences and distances at each position, mirrored ones, and the AI similarity. a and b are structs of two items."""
+    out = {"_d": differences(a["frames"], b["frames"], s.ignore_black, s.ignore_white)}
+    hashed = s.combine or s.use_phash
+    if hashed:
+        out["_b"] = hash_distances(a["ph"], b["ph"])
+    if s.flipped:
+        out["_fd"] = differences(a["frames_flip"], b["frames"], s.ignore_black, s.ignore_white)
+        if hashed:
+            out["_fb"] = hash_distances(a["ph_flip"], b["ph"])
+    if s.use_ai:
+        out["_ai"] = ai_similarity(a["emb"], a["emb_valid"], b["emb"], b["emb_valid"])
+    return out
+
+
+def measured(pairs: DataFrame, s: MatchSettings) -> DataFrame:
+    """pairs (a, b) with their measures as columns, so that each is computed once, however often the verdict looks at it."""
+    return pairs.withColumns(measures(F.col("a"), F.col("b"), s))
+
+
+def verdict(a: Column, b: Column, s: MatchSettings, at: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The parts of a pair's verdict: normal, ai, flipped, and (match, difference, flags) of all together; ``at``: the pair's measures."""
+    at = measures(a, b, s) if at is None else at
+    normal = classic_verdict(a["is_image"], at["_d"], at.get("_b"), s)
     out = {"normal": normal}
     matches, difference, flags = normal["matches"], normal["difference"], F.when(normal["matches"], normal["algorithms"]).otherwise(0)
     if s.use_ai:
-        out["ai"] = ai_similarity(a["emb"], a["emb_valid"], b["emb"], b["emb_valid"])
+        out["ai"] = at["_ai"]
         by_ai = ~matches & (out["ai"] >= _single(s.ai_limit()))
         difference = F.when(by_ai, (F.lit(1) - out["ai"]).cast("float")).otherwise(difference)
         flags = F.when(by_ai, F.lit(K.AI_MATCHED)).otherwise(flags)
         matches = matches | by_ai
     if s.flipped:
-        out["flipped"] = flipped = classic_verdict(a["is_image"], a["frames_flip"], b["frames"], a["ph_flip"], b["ph"], s)
+        out["flipped"] = flipped = classic_verdict(a["is_image"], at["_fd"], at.get("_fb"), s)
         # the mirror image wins only where the normal one fails or differs more
         wins = flipped["matches"] & (~matches | (flipped["difference"] < difference))
         flags = F.when(wins, flipped["algorithms"].bitwiseOR(F.lit(K.FLIPPED))).otherwise(flags)
@@ -225,7 +256,8 @@ def matches(items: DataFrame, s: MatchSettings) -> DataFrame:
 def judged(pairs: DataFrame, s: MatchSettings) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     gated = pairs.filter(duration_gate(a, b, s) & folder_gate(a["folders"], b["folders"], s))
-    found = gated.withColumn("r", verdict(a, b, s)["result"]).filter("r.match")
+    at = {n: F.col(n) for n in measures(a, b, s)}
+    found = measured(gated, s).withColumn("r", verdict(a, b, s, at)["result"]).filter("r.match")
     found = found.filter(~hard_link(a, b)) if s.exclude_hard_links else found
     return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "r.difference", "r.flags")
 
@@ -236,14 +268,15 @@ def explain(pairs: DataFrame, s: MatchSettings) -> DataFrame:
     Where kinds differ or a frame is missing, ``problem`` says so and the match is false.
     """
     a, b = F.col("a"), F.col("b")
-    parts = verdict(a, b, s)
+    pairs = measured(pairs, s)
+    parts = verdict(a, b, s, {n: F.col(n) for n in measures(a, b, s)})
     short = (F.size(F.coalesce(a["frames"], F.array())) < 1) | (F.size(F.coalesce(b["frames"], F.array())) < 1)
     missing = short | F.exists(a["frames"], lambda f: f.isNull()) | F.exists(b["frames"], lambda f: f.isNull())
     problem = F.when(a["is_image"] != b["is_image"], "kinds").when(missing, "frames")
     out = {
         "a": a["id"], "b": b["id"], "problem": problem, "duration_gap": F.abs(a["duration"] - b["duration"]), "duration_ok": duration_gate(a, b, s), "folder_ok": folder_gate(a["folders"], b["folders"], s),
-        "frame_differences": differences(a["frames"], b["frames"], False, False), "masked_differences": differences(a["frames"], b["frames"], s.ignore_black, s.ignore_white),
-        "hash_distances": F.zip_with(a["ph"], b["ph"], lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
+        "frame_differences": differences(a["frames"], b["frames"], False, False), "masked_differences": F.col("_d"),
+        "hash_distances": hash_distances(a["ph"], b["ph"]).cast("array<int>"),
         "dark_a": F.transform(a["frames"], K.is_dark), "dark_b": F.transform(b["frames"], K.is_dark),
         "normal": parts["normal"], "hard_link": hard_link(a, b),
     }
