@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from kindred.functions import kernels as K
 
+#: Items of a band that one task compares with as many others.
+BLOCK = 512
+
 
 @dataclass(frozen=True)
 class MatchSettings:
@@ -161,8 +164,13 @@ def measures(a: Column, b: Column, s: MatchSettings) -> dict[str, Column]:
 
 
 def measured(pairs: DataFrame, s: MatchSettings) -> DataFrame:
-    """pairs (a, b) with their measures as columns, so that each is computed once, however often the verdict looks at it."""
-    return pairs.withColumns(measures(F.col("a"), F.col("b"), s))
+    """pairs (a, b) with their measures as columns, each computed once for a pair.
+
+    A filter on the verdict would be pushed through a projection, into the condition of the join, with a copy of the measures wherever the
+    verdict looks at them. Nothing that reads a generator's output moves below it, so they come out of one with a single row.
+    """
+    at = measures(F.col("a"), F.col("b"), s)
+    return pairs.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in at.items())))))
 
 
 def verdict(a: Column, b: Column, s: MatchSettings, at: dict[str, Column] | None = None) -> dict[str, Column]:
@@ -227,25 +235,31 @@ def scale(duration: Column, s: MatchSettings) -> Column:
 def candidate_pairs(items: DataFrame, s: MatchSettings) -> DataFrame:
     """(a, b): structs of pairs of items of one kind with a.id < b.id that pass the duration gate and are not both out of scope.
 
-    The range join is an equi-join on bands of the duration's scale. Images have no duration: theirs is one band, dealt in blocks by hash,
-    so each pair of blocks is a key of its own.
+    The range join is an equi-join on bands of the duration's scale; images have no duration: theirs is one band. Each band is cut into
+    hashed blocks by its own number of items, and each pair of blocks is a key of its own, so a hot duration is no hot key. A cell costs by its
+    pairs, not its bytes: the session's number of partitions spreads cells, which adaptive execution would merge.
     """
     columns = items.columns
-    number = items.filter("is_image").count()
-    blocks = max(1, -(-number // 512))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")
-    band = F.when(F.col("is_image"), F.lit(0).cast("long")).otherwise(F.floor(scale(F.col("duration"), s)).cast("long"))
     reach = 2 if s.tolerance_percent > 0 and s.tolerance_least > 0 else 1
-    shift = F.when(F.col("is_image"), F.sequence(F.lit(0), F.lit(0))).otherwise(F.sequence(F.lit(-reach), F.lit(reach)))
-    every = F.when(F.col("is_image"), F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    whole = F.struct(*columns)
-    left = items.select(whole.alias("a"), F.col("is_image").alias("kind"), band.alias("k"), F.when(F.col("is_image"), own).otherwise(0).alias("i"), F.explode(every).alias("j"))
-    right = items.select(whole.alias("b"), F.col("is_image").alias("kind"), band.alias("k0"), F.explode(shift).alias("by"), F.when(F.col("is_image"), own).otherwise(0).alias("j"), every.alias("e"))
-    right = right.select("b", "kind", (F.col("k0") + F.col("by")).alias("k"), "j", F.explode("e").alias("i"))
-    near = duration_gate(F.col("a"), F.col("b"), s) & (F.col("a.id") < F.col("b.id"))
+    band = F.when(F.col("is_image"), F.lit(0).cast("long")).otherwise(F.floor(scale(F.col("duration"), s)).cast("long"))
+    banded = items.select(F.struct(*columns).alias("x"), F.col("is_image").alias("kind"), band.alias("k"))
+    sizes = banded.groupBy("kind", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    # a pair of bands meets once, from the lower one; images have a single band
+    above = F.when(F.col("kind"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(reach)))
+    meet = sizes.select("kind", "k", "n", F.explode(above).alias("by")).withColumn("up", F.col("k") + F.col("by")).drop("by")
+    meet = meet.join(sizes.select("kind", F.col("k").alias("up"), F.col("n").alias("m")), ["kind", "up"])
+    place = lambda n: F.pmod(F.xxhash64("x.id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["kind", "k", "up", "i", "j"]
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = banded.join(meet, ["kind", "k"]).select(F.col("x").alias("p"), "kind", "k", "up", place("n").alias("i"), each("m").alias("j")).repartition(parts, *key)
+    right = banded.withColumnRenamed("k", "up").join(meet, ["kind", "up"]).select(F.col("x").alias("q"), "kind", "k", "up", each("n").alias("i"), place("m").alias("j")).repartition(parts, *key)
+    p, q = F.col("p"), F.col("q")
+    near = F.when(F.col("k") == F.col("up"), p["id"] < q["id"]).otherwise(p["id"] != q["id"]) & duration_gate(p, q, s)
     if "in_scope" in columns:
-        near = near & (F.col("a.in_scope") | F.col("b.in_scope"))
-    return left.join(right, ["kind", "k", "i", "j"]).filter(near).select("a", "b")
+        near = near & (p["in_scope"] | q["in_scope"])
+    first = p["id"] < q["id"]
+    return left.join(right, key).filter(near).select(F.when(first, p).otherwise(q).alias("a"), F.when(first, q).otherwise(p).alias("b"))
 
 
 def matches(items: DataFrame, s: MatchSettings) -> DataFrame:

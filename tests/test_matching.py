@@ -115,6 +115,26 @@ def test_candidates_lose_no_pair(spark, percent, least, most):
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (a[3] or b[3]) and (a[1] or abs(a[2] - b[2]) <= min(t[a[0]], t[b[0]]))}
 
 
+def test_a_hot_duration_meets_block_by_block(spark, monkeypatch):
+    """With blocks far smaller than a band every pair still comes once, from any band and block, and ids that repeat or miss meet no one of their own."""
+    monkeypatch.setattr(matching, "BLOCK", 4)
+    rows = [(i, i % 5 == 0, None if i == 41 else 10.0 if i % 3 else 10.0 + i / 4) for i in range(60)] + [(7, False, 10.5), (None, False, 10.0)]
+    s = MatchSettings(tolerance_percent=20)
+    got = [(r.x, r.y) for r in matching.candidate_pairs(spark.createDataFrame(rows, "id long, is_image boolean, duration double"), s).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()]
+    known = [r for r in rows if r[0] is not None]
+    near = lambda p, q: p[1] == q[1] and (p[1] or None not in (p[2], q[2]) and abs(p[2] - q[2]) <= min(p[2], q[2]) * 0.2)
+    assert sorted(got) == sorted((p[0], q[0]) for p in known for q in known if p[0] < q[0] and near(p, q))
+
+
+def test_measures_are_computed_once_for_a_pair(spark):
+    """No measure moves into the join's condition, and none is written out once more for the filter on the verdict."""
+    s = MatchSettings(combine=True, use_ai=True)
+    items = spark.createDataFrame([item(1, [fill(9, 16)]), item(2, [fill(8, 16)])], SCHEMA).withColumn("ph_flip", F.col("ph"))
+    lines = matching.matches(items, s)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [x for x in lines if "zip_with(" in x]
+    assert len(made) == 1 and "Generate inline" in made[0]
+
+
 def test_explanation_agrees_with_matches(spark):
     rows = [item(1, [fill(5)], folders=["a"]), item(2, [fill(6)], folders=["a"]), item(3, [fill(200)], image=True, duration=0.0), item(4, [], folders=["a"])]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ph_flip", F.col("ph"))
