@@ -185,7 +185,9 @@ def hard_link_pairs(spark, d):
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 6)) AS unit FROM embeddings")
 def unit_vectors(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", F.transform(K.unit(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    # a small negative component rounds to -0.0, which Spark's decimal rounding would give as 0.0
+    rounded = lambda x: F.when(F.round(x, 6) == 0, F.signum(x) * 0.0).otherwise(F.round(x, 6))
+    return read(spark, d, "embeddings").select("vec_id", F.transform(K.unit(F.col("embedding")), rounded).alias("unit"))
 
 
 def _word_sql(w: int) -> str:
