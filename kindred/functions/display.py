@@ -46,10 +46,11 @@ def kilobits(bits: Column) -> Column:
     return F.bround(F.coalesce(bits, F.lit(0)) / 1000).cast("long")
 
 
-def bytes_label(n: Column) -> Column:
-    """0 B, 1.5 KB, 2.0 GB ..."""
+def bytes_label(n: Column, largest: str = "PB") -> Column:
+    """0 B, 1.5 KB, 2.0 GB ..., in units up to the largest."""
+    units = ["B", "KB", "MB", "GB", "TB", "PB"]
     steps = F.when(n == 0, "0 B")
-    for i, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB", "PB"]))):
+    for i, unit in reversed(list(enumerate(units[: units.index(largest) + 1]))):
         steps = steps.when(F.lit(i == 0) | (n >= 1024**i), F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(" " + unit)))
     return steps
 
