@@ -77,6 +77,19 @@ def text_frames(texts: pd.Series) -> pd.Series:
     return pd.Series([cut(t) for t in texts])
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(frames: pd.Series) -> pd.Series:
+    """Each frame's pixels as bytes."""
+
+    def one(px: np.ndarray) -> bytes:
+        px = np.asarray(px)
+        if len(px) and not 0 <= px.min() <= px.max() <= 255:
+            raise ValueError("pixels lie between 0 and 255")
+        return px.astype(np.uint8).tobytes()
+
+    return pd.Series([one(px) for px in frames], dtype=object)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

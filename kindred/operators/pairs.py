@@ -37,64 +37,198 @@ def band_join(items: DataFrame, percent: float, carry: list[str] | None = None)
 
 
 def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool = False, masked: bool = False) -> DataFrame:
-    """(a, b, diff): pairs a < b of items (id, duration, px) in one duration band whose frames differ by at most ``most``.
+    """(a, b, diff): pairs a < b of items (id, duration, px) whose durations lie within percent and whose frames differ by at most ``most``.
 
-    Each band is cut into blocks by its own number of rows; each pair of blocks is compared in numpy and only matches leave the task. Pairs whose
-    coarse sums (of 8 x 8 pixels) differ by more than the threshold allows are dropped before their pixels are read; sums of masked
-    pixels bound nothing. ``mirrored`` compares with the mirror image of the first; ``masked`` leaves out black and white pixels. With
-    in_scope among the columns, pairs of two items out of scope are left out.
+    Pixels are bytes. Items are dealt, in the order of their durations, into blocks of bounded size; a hot duration is cut by a hash. A cell is a
+    block and some of those that it can meet, so each frame, a byte for a pixel, is shuffled once for a cell and never joined. Inside a cell pairs
+    pass a bound that a matrix product gives (``_Bound``), which loses none, before their pixels are compared; only matches leave the task.
+    ``mirrored`` compares with the mirror image of the first; ``masked`` leaves out black and white pixels. With in_scope among the columns,
+    pairs of two items out of scope are left out.
     """
-    scope = F.col("in_scope") if "in_scope" in items.columns else F.lit(True)
-    banded = items.select("id", F.col("duration").cast("double").alias("duration"), F.col("px").cast("array<smallint>").alias("px"), band(F.col("duration"), percent).alias("k"), scope.alias("scoped"))
-    # as many bands as the logarithm of the longest duration: small enough to broadcast
-    sizes = banded.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    after = sizes.select((F.col("k") - 1).alias("k"), F.col("n").alias("next"))
-    blocks = F.broadcast(sizes.join(after, "k", "full").select("k", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) + F.coalesce("next", F.lit(0))).alias("m")))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = banded.join(blocks, "k").select("id", "duration", "px", "scoped", "k", place("n").alias("i"), each("m").alias("j"), F.lit(True).alias("first"), F.col("k").alias("own"))
-    shifted = banded.select("id", "duration", "px", "scoped", F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("k"), F.col("k").alias("own"))
-    right = shifted.join(blocks, "k").filter("n > 0").select("id", "duration", "px", "scoped", "k", each("n").alias("i"), place("m").alias("j"), F.lit(False).alias("first"), "own")
-    cells = left.unionByName(right)
     share = percent / 100.0
-    side = K.SIDE // 8
+    scope = F.col("in_scope") if "in_scope" in items.columns else F.lit(True)
+    step = math.log1p(share / FINE)
+    duration = F.col("duration").cast("double")
+    fine = F.when(duration > 0, F.floor(F.log(duration) / step)).otherwise(F.lit(-(1 << 40))).cast("long")
+    # as many rows as the logarithm of the longest duration by the step: few enough for the driver
+    sizes = sorted(tuple(r) for r in items.groupBy(fine.alias("k")).agg(F.count("*").alias("n")).collect())
+    bands, cells = _cells(sizes, math.ceil(math.log1p(share) / step) + 1)
+    spark = items.sparkSession
+    number = max((c for _, c, _ in cells), default=0) + 1
+    bands = F.broadcast(spark.createDataFrame(bands, "k long, first int, parts int"))
+    cells = F.broadcast(spark.createDataFrame(cells, "block int, cell int, role int"))
+    rows = items.select("id", duration.alias("duration"), K.packed("px").alias("px"), scope.alias("scoped"), fine.alias("k")).join(bands, "k")
+    rows = rows.withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(cells, "block").select("cell", "role", "block", "id", "duration", "px", "scoped")
+    # a cell costs by its pairs: adaptive execution, which goes by bytes, must not merge them
+    parts = min(2048, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * number))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        one, two = cell[cell["first"]], cell[~cell["first"]]
+        cell = cell.sort_values("duration", ignore_index=True)
+        px = np.frombuffer(b"".join(cell["px"]), np.uint8).reshape(len(cell), -1)
+        ids, durations, scoped, role = (cell[c].to_numpy() for c in ("id", "duration", "scoped", "role"))
+        left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(one) and len(two):
-            a = np.stack(one["px"].to_numpy()).astype(np.int16)
-            a = a.reshape(-1, K.SIDE, K.SIDE)[:, :, ::-1].reshape(len(a), -1) if mirrored else a
-            b = np.stack(two["px"].to_numpy()).astype(np.int16)
-            coarse = lambda x: x.reshape(-1, side, 8, side, 8).sum(axis=(2, 4), dtype=np.int64).reshape(len(x), -1)
-            ca, cb = coarse(a), coarse(b)
-            di, dj, own = one["duration"].to_numpy(), two["duration"].to_numpy(), two["own"].to_numpy()
-            ia, ib, sa, sb = one["id"].to_numpy(), two["id"].to_numpy(), one["scoped"].to_numpy(), two["scoped"].to_numpy()
-            k = one["k"].iloc[0]
-            for r in range(len(a)):
-                # inside a band each pair meets twice: once is enough; the neighbouring band meets once
-                near = (np.abs(di[r] - dj) <= np.minimum(di[r], dj) * share) & ((own != k) | (ia[r] < ib)) & (ia[r] != ib) & (sa[r] | sb)
-                rows = np.flatnonzero(near)
-                if not masked and len(rows):
-                    rows = rows[np.abs(ca[r] - cb[rows]).sum(axis=1) <= most * 256.0 * K.PIXELS]
-                if not len(rows):
-                    continue
-                pick = b[rows]
-                gap = np.abs(a[r] - pick)
-                if masked:
-                    use = (a[r] > K.BLACK) & (a[r] < K.WHITE) & (pick > K.BLACK) & (pick < K.WHITE)
-                    n = use.sum(axis=1)
-                    diff = np.where(n > 0, (gap * use).sum(axis=1) / np.maximum(n, 1) / 256.0, np.inf)
-                else:
-                    diff = gap.sum(axis=1, dtype=np.int64) / gap.shape[1] / 256.0
-                good = np.flatnonzero(diff <= most)
-                if len(good):
-                    y = ib[rows[good]]
-                    out.append((np.minimum(ia[r], y), np.maximum(ia[r], y), diff[good]))
+        for lo in range(0, len(left), TILE):
+            rows = left[lo : lo + TILE]
+            # a little more than the gate lets through, which is applied to the pairs that are left
+            low = np.searchsorted(durations[right], durations[rows[0]] / (1 + share) * (1 - 1e-9))
+            others = right[low : np.searchsorted(durations[right], durations[rows[-1]] * (1 + share) * (1 + 1e-9), "right")]
+            if not len(others):
+                continue
+            one = px[rows].reshape(-1, K.SIDE, K.SIDE)[:, :, ::-1].reshape(len(rows), -1) if mirrored else px[rows]
+            bound = _Bound(one, px, others, most, masked)
+            for at in range(0, len(others), 2 * TILE):
+                some = others[at : at + 2 * TILE]
+                x, y = bound.left(px[some])
+                p, q = rows[x], some[y]
+                # inside a block each pair meets twice: once is enough
+                near = ((role[q] != BOTH) | (p < q)) & (ids[p] != ids[q]) & (scoped[p] | scoped[q]) & (np.abs(durations[p] - durations[q]) <= np.minimum(durations[p], durations[q]) * share)
+                x, p, q = x[near], p[near], q[near]
+                for k in range(0, len(p), AT_ONCE // px.shape[1]):
+                    u, v, w = (z[k : k + AT_ONCE // px.shape[1]] for z in (x, p, q))
+                    diff = _difference(one[u], px[w], masked)
+                    good = np.flatnonzero(diff <= most)
+                    out.append((np.minimum(ids[v[good]], ids[w[good]]), np.maximum(ids[v[good]], ids[w[good]]), diff[good]))
         a, b, d = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
         return pd.DataFrame({"a": a, "b": b, "diff": d}).astype({"a": "int64", "b": "int64", "diff": "float64"})
 
-    return cells.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long, diff double")
+    return rows.repartition(parts, "cell").groupBy("cell").applyInPandas(compare, "a long, b long, diff double")
+
+
+#: Steps of a scale of durations into which a tolerance is cut; blocks that a table makes, rows of a block and of a cell's other side at most; rows of a tile.
+FINE, BLOCKS, MOST_ROWS, OTHER_ROWS, TILE = 16, 48, 12288, 32768, 2048
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def _cells(sizes: list[tuple[int, int]], reach: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """((band, its first block, number of its blocks) ..., (block, cell, role) ...) of bands' sizes in order; bands at most ``reach`` apart meet.
+
+    A cell has one block at its left and some that aren't before it at its right, itself among them in the first one (role BOTH).
+    """
+    rows = min(MOST_ROWS, max(BLOCK, -(-sum(n for _, n in sizes) // BLOCKS)))
+    bands: list[tuple[int, int, int]] = []
+    blocks: list[list[int]] = []  # lowest and highest band, rows
+    for k, n in sizes:
+        if n <= rows and blocks and blocks[-1][2] + n <= rows:
+            blocks[-1][1:] = [k, blocks[-1][2] + n]
+            bands.append((k, len(blocks) - 1, 1))
+        else:
+            parts = -(-n // rows)
+            bands.append((k, len(blocks), parts))
+            blocks += [[k, k, -(-n // parts)] for _ in range(parts)]
+    cells: list[tuple[int, int, int]] = []
+    cell = 0
+    for i, (_, high, _) in enumerate(blocks):
+        cells.append((i, cell, BOTH))
+        held = blocks[i][2]
+        for j in range(i + 1, len(blocks)):
+            if blocks[j][0] > high + reach:
+                break
+            if held + blocks[j][2] > OTHER_ROWS:
+                cell, held = cell + 1, 0
+                cells.append((i, cell, LEFT))
+            cells.append((j, cell, RIGHT))
+            held += blocks[j][2]
+        cell += 1
+    return bands, cells
+
+
+def _difference(a: np.ndarray, b: np.ndarray, masked: bool) -> np.ndarray:
+    """Mean differences of frames, row by row, as a share of 256; infinite where a mask leaves no pixel."""
+    gap = np.abs(a.astype(np.int16) - b)
+    if not masked:
+        return gap.sum(axis=1, dtype=np.int64) / gap.shape[1] / 256.0
+    use = (a > K.BLACK) & (a < K.WHITE) & (b > K.BLACK) & (b < K.WHITE)
+    n = use.sum(axis=1)
+    return np.where(n > 0, (gap * use).sum(axis=1, dtype=np.int64) / np.maximum(n, 1) / 256.0, np.inf)
+
+
+class _Bound:
+    """Which pairs of frames can differ by at most ``most``, by a matrix product.
+
+    With pixels as steps (v ones, then zeros), an absolute difference is a squared distance. A projection of the steps onto r directions gives no
+    more than that, and so does a part of the pixels; both are chosen by a sample of the pairs, the directions as those along which they differ most.
+    Under a mask, the pixels that both frames use must sum to at most ``most`` each; pixels that are left out count as if they were equal.
+    """
+
+    #: Pairs below which all are compared; rows of a sample; nanoseconds of a factor in the product, of a comparison, and of a masked one.
+    FEW, SAMPLE, COST, EXACT, EXACT_MASKED = 1 << 15, 128, 0.022, 700.0, 2500.0
+
+    def __init__(self, one: np.ndarray, px: np.ndarray, others: np.ndarray, most: float, masked: bool):
+        self.all = len(one) * len(others) < self.FEW
+        self.number = len(one)
+        if self.all:
+            return
+        pixels = one.shape[1]
+        self.masked, self.each, self.limit = masked, most * 256.0, most * 256.0 * pixels
+        pick = np.random.default_rng(len(others))
+        x = one[pick.integers(0, len(one), self.SAMPLE)]
+        y = px[others[pick.integers(0, len(others), self.SAMPLE)]]
+        value = np.arange(256)
+        self.use = ((value > K.BLACK) & (value < K.WHITE)).astype(np.float32) if masked else np.ones(256, np.float32)
+        self.tables = self._directions(x, y)
+        best = (1.0 * (self.EXACT_MASKED if masked else self.EXACT), 0, 0)
+        for r in range(1, len(self.tables) + 1):
+            for stride in (8, 4, 2, 1):
+                if pixels % stride or (masked and stride > 2 and r > 2):
+                    continue
+                width = pixels // stride * (r + 2 if masked else r)
+                passing = float((self._product(x, y, r, stride) >= 0).mean())
+                cost = self.COST * width + passing * (self.EXACT_MASKED if masked else self.EXACT)
+                best = min(best, (cost, r, stride))
+        _, self.r, self.stride = best
+        self.all = not self.r
+        self.one = None if self.all else self._factors(one, self.r, self.stride)[0]
+
+    def _directions(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Up to four rows: what each pixel value is along the directions in which pairs differ most."""
+        ok = (self.use[x] * self.use[y]).ravel() > 0
+        lo, hi = np.minimum(x, y).ravel()[ok].astype(np.int64), np.maximum(x, y).ravel()[ok]
+        count = np.bincount(lo * 256 + hi, minlength=65536).reshape(256, 256).astype(np.float64)
+        # of how many pairs the step t lies between the values: lo < t <= hi; of how many two steps do
+        within = np.cumsum(count, axis=0)[:-1][:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+        t = np.arange(255)
+        both = within[np.minimum(t[:, None], t), np.maximum(t[:, None], t)]
+        vectors = np.linalg.eigh(both)[1][:, ::-1][:, :4]
+        along = np.vstack([np.zeros(4), np.cumsum(vectors, axis=0)]).T
+        seen = np.bincount(np.concatenate([x.ravel(), y.ravel()]), minlength=256) * self.use
+        return (along - (along * seen).sum(axis=1, keepdims=True) / max(seen.sum(), 1)).astype(np.float32)
+
+    def _factors(self, px: np.ndarray, r: int, stride: int, other: bool = False) -> tuple[np.ndarray, int]:
+        """Factors whose product is at least 0 where a pair's bound is within the limit; of a pair's first, or other, frame."""
+        part = px[:, ::stride]
+        n, m = part.shape
+        norm = (self.tables[:r] ** 2).sum(axis=0)
+        if not self.masked:
+            out = np.empty((n, r * m + 2), np.float32)
+            for k in range(r):
+                np.take(self.tables[k], part, out=out[:, k * m : (k + 1) * m], mode="clip")
+            half = norm[part].sum(axis=1, dtype=np.float64) / 2
+            # a little is added for rounding
+            out[:, -2:] = np.column_stack([np.ones(n), self.limit * 1.002 / 2 - half] if other else [-half, np.ones(n)])
+            return out, m
+        tables = [self.use, self.use * norm] if other else [-self.use * (norm - self.each), -self.use]
+        tables += [self.use * v * (1 if other else 2) for v in self.tables[:r]]
+        out = np.empty((n, len(tables) * m + 2), np.float32)
+        for k, v in enumerate(tables):
+            np.take(v.astype(np.float32), part, out=out[:, k * m : (k + 1) * m], mode="clip")
+        rest = (self.use[px].sum(axis=1) - self.use[part].sum(axis=1)) * self.each / 2
+        out[:, -2:] = np.column_stack([np.ones(n), rest] if other else [rest + 8, np.ones(n)])
+        return out, m
+
+    def _product(self, x: np.ndarray, y: np.ndarray, r: int, stride: int) -> np.ndarray:
+        return self._factors(x, r, stride)[0] @ self._factors(y, r, stride, other=True)[0].T
+
+    def left(self, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of the first frames and the others that may match."""
+        if self.all:
+            return np.repeat(np.arange(self.number), len(other)), np.tile(np.arange(len(other)), self.number)
+        y = self._factors(other, self.r, self.stride, other=True)[0]
+        found = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, self.number, 512):
+            x, z = np.nonzero(self.one[lo : lo + 512] @ y.T >= 0)
+            found.append(np.stack([x + lo, z]))
+        return tuple(np.concatenate(found, axis=1))
 
 
 #: Rows that share a slice's value before they are dealt by two slices at once.

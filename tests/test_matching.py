@@ -259,6 +259,36 @@ def test_frame_pairs_against_all_pairs(spark, monkeypatch, masked, mirrored):
     assert got == expected and got
 
 
+@pytest.mark.parametrize("masked, letters", [(False, False), (True, False), (False, True), (True, True)])
+def test_frame_bound_loses_no_pair(monkeypatch, masked, letters):
+    monkeypatch.setattr(pairs._Bound, "FEW", 0)
+    rng = np.random.default_rng(3)
+    base = rng.choice([32, 97, 101, 105, 110, 114, 116, 117], (300, 1024), p=[0.16] + [0.12] * 7) if letters else rng.integers(0, 256, (300, 1024))
+    noise = rng.integers(-1, 2, (300, 1024)) * rng.integers(0, 14, (300, 1))
+    px = np.clip(np.concatenate([base, np.clip(base + noise, 0, 255)]), 0, 255).astype(np.uint8)
+    bound = pairs._Bound(px[:400], px, np.arange(200, 600), 0.02, masked)
+    assert not bound.all
+    got = set(zip(*(v.tolist() for v in bound.left(px[200:])), strict=True))
+    for i in range(400):
+        near = np.flatnonzero(pairs._difference(np.repeat(px[i : i + 1], 400, axis=0), px[200:], masked) <= 0.02)
+        assert {(i, int(j)) for j in near} <= got
+    assert len(got) < 400 * 400 / 4
+
+
+def test_frames_are_shuffled_a_few_times_only():
+    """Each frame goes once into each cell; the old cells had a copy of each frame for every block of two bands."""
+    rng = np.random.default_rng(1)
+    bands, counts = np.unique(np.floor(rng.normal(600, 60, 500_000)).astype(int), return_counts=True)
+    sizes = list(zip(bands.tolist(), counts.tolist(), strict=True))
+    placed, cells = pairs._cells(sizes, 17)
+    rows = {}
+    for (_, first, parts), (_, n) in zip(placed, sizes, strict=True):
+        for p in range(parts):
+            rows[first + p] = rows.get(first + p, 0) + n / parts
+    assert sum(rows[b] for b, _, _ in cells) < 8 * 500_000
+    assert max(sum(rows[b] for b, c, _ in cells if c == cell) for cell in {c for _, c, _ in cells}) <= 2 * (pairs.OTHER_ROWS + pairs.MOST_ROWS)
+
+
 # Partial matches
 
 
