@@ -90,6 +90,12 @@ def packed(frames: pd.Series) -> pd.Series:
     return pd.Series([one(px) for px in frames], dtype=object)
 
 
+@F.pandas_udf(T.BinaryType())
+def packed_wide(frames: pd.Series) -> pd.Series:
+    """Each frame's values as 16-bit numbers."""
+    return pd.Series([np.asarray(px).astype("<i2").tobytes() for px in frames], dtype=object)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
