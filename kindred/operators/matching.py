@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions import kernels as K
+from kindred.operators import cells
 
 #: Items of a band that one task compares with as many others.
 BLOCK = 512
@@ -263,7 +264,21 @@ def candidate_pairs(items: DataFrame, s: MatchSettings) -> DataFrame:
 
 
 def matches(items: DataFrame, s: MatchSettings) -> DataFrame:
-    """(a, b, difference, flags): all matching pairs of items, through every gate."""
+    """(a, b, difference, flags): all matching pairs of items, through every gate.
+
+    Where no pixel is masked and every item is regular, cells in numpy decide (``cells``); else the columns do.
+    """
+    if not s.ignore_black and not s.ignore_white and dict(items.dtypes)["id"] in ("bigint", "int") and (not s.flipped or not (s.combine or s.use_phash) or "ph_flip" in items.columns):
+        known = items.filter(F.col("id").isNotNull() & F.col("is_image").isNotNull() & (F.col("is_image") | F.col("duration").isNotNull()))
+        fits = F.when(F.col("is_image"), cells.regular(s, True)).otherwise(cells.regular(s, False))
+        sizes = known.groupBy("is_image").agg(F.count_if(~fits).alias("odd"), F.countDistinct(F.size(F.get("frames", F.lit(0)))).alias("sizes")).collect()
+        if sizes and all(r.odd == 0 and r.sizes == 1 for r in sizes):
+            fine = 16
+            tolerance = K.duration_tolerance(F.col("duration"), s.tolerance_percent, s.tolerance_least, s.tolerance_most)
+            reach = fine * (2 if s.tolerance_percent > 0 and s.tolerance_least > 0 else 1) + 1
+            keys = folder_keys(F.col("folders"), s.folder_depth)
+            videos = cells.matches(known.filter(~F.col("is_image")), s, False, F.floor(scale(F.col("duration"), s) * fine).cast("long"), reach, tolerance, keys)
+            return videos.unionByName(cells.matches(known.filter("is_image"), s, True, F.lit(0).cast("long"), 0, F.lit(0.0), keys))
     return judged(candidate_pairs(with_mirrored(items) if s.flipped and "frames_flip" not in items.columns else items, s), s)
 
 

@@ -135,6 +135,24 @@ def test_measures_are_computed_once_for_a_pair(spark):
     assert len(made) == 1 and "Generate inline" in made[0]
 
 
+@pytest.mark.parametrize("kind", [dict(), dict(use_phash=True, flipped=True), dict(combine=True, flipped=True, use_ai=True, ai_percent=20, folder_mode="same", exclude_hard_links=True), dict(tolerance_percent=0, tolerance_most=9, folder_mode="different", flipped=True)])
+def test_cells_decide_as_the_columns_do(spark, monkeypatch, kind):
+    monkeypatch.setattr(pairs, "BLOCK", 9)
+    rng = random.Random(5)
+    rows = []
+    for i in range(90):
+        image, n = i % 6 == 0, 1 if i % 6 == 0 else 3
+        frames = [[min(255, max(0, rng.choice([90, 140]) + rng.randrange(-40, 41))) for _ in range(16)] for _ in range(n)]
+        ino, duration = str(rng.randrange(3)) if i % 4 else "", 0.0 if image else float(rng.choice([50, 58, 66, 75]))
+        rows.append((*item(i, frames, [rng.getrandbits(8) for _ in range(n)], image, duration, [[rng.randrange(-90, 91) for _ in range(4)] for _ in range(n)], [rng.random() < 0.7 for _ in range(n)], [f"x/{rng.randrange(2)}"], rng.randrange(2), "d", ino), [rng.getrandbits(8) for _ in range(n)]))
+    s = MatchSettings(**{"positions": 3, "percent": 87, "flipped": False, "ignore_black": False, "ignore_white": False, **kind})
+    df = matching.with_mirrored(spark.createDataFrame(rows, SCHEMA + ", ph_flip array<long>"))
+    found = matching.matches(df, s)
+    assert "compare(" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows_of = lambda x: sorted((r.a, r.b, r.difference, r.flags) for r in x.collect())
+    assert rows_of(found) == rows_of(matching.judged(matching.candidate_pairs(df, s), s)) and rows_of(found)
+
+
 def test_explanation_agrees_with_matches(spark):
     rows = [item(1, [fill(5)], folders=["a"]), item(2, [fill(6)], folders=["a"]), item(3, [fill(200)], image=True, duration=0.0), item(4, [], folders=["a"])]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ph_flip", F.col("ph"))
