@@ -341,3 +341,19 @@ def test_audio_feed_is_independent_of_chunks(spark):
     df = spark.createDataFrame([(5, k, bytearray(pcm[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], "id long, part int, pcm binary").repartition(3)
     assert audio.fingerprints(df).first().fp == whole.astype(int).tolist()
     assert len(audio.Feed().finish()) == 0
+
+
+@pytest.mark.parametrize("slots", [2048, 5])
+def test_dense_votes_count_every_hit(spark, monkeypatch, slots):
+    """As the votes over a row for each hit, of which no row is made."""
+    monkeypatch.setattr(partials, "SLOTS", slots)
+    rng = np.random.default_rng(slots)
+    rows = [(i, k, 5, rng.integers(-60, 61, 16).tolist(), bool(rng.random() < 0.9)) for i in range(4) for k in range(23)]
+    t = spark.createDataFrame(rows, "id long, slot long, interval int, emb array<int>, valid boolean")
+    met = spark.createDataFrame([(a, b) for a in range(4) for b in range(a + 1, 4)], "source long, clip long")
+    hits = partials.frame_hits(t, met, 0.3, K.signature_bound(0.3, 16))
+    plain = audio.offset_votes(hits, partials.OFFSET_TOLERANCE, partials.LEAST_HITS)
+    shown = lambda df: sorted((r.source, r.clip, round(r.similarity, 9), r.offset, r.hits) for r in df.collect())
+    out = partials.dense_matches(t, met, 0.3)
+    assert shown(out) == shown(plain) and shown(out)
+    assert "words" not in out._jdf.queryExecution().optimizedPlan().toString() and "count(" in out._jdf.queryExecution().optimizedPlan().toString()
