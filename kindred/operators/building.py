@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import kernels as K
 from kindred.operators import grouping
+from kindred.operators.lineage import cut
 from kindred.operators.matching import MatchSettings
 
 
@@ -105,6 +106,7 @@ def matched_groups(edges: DataFrame, items: DataFrame, s: MatchSettings) -> Data
             out += [(min(group[k][0] for k in part), *group[k]) for part in parts for k in part]
         return pd.DataFrame(out, columns=["group_id", "idx", "difference", "flags", "is_rep"]).astype({"group_id": "int64", "idx": "int64", "difference": "float64", "flags": "int32", "is_rep": "bool"})
 
+    edges = cut(edges)  # what finds them runs once
     of = grouping.components(edges)
     sizes = of.groupBy("component").agg(F.count("*").alias("n"))
     small, large = (of.join(sizes.filter(rule).select("component"), "component", "left_semi") for rule in (F.col("n") <= MOST_MEMBERS, F.col("n") > MOST_MEMBERS))

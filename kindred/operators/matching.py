@@ -268,18 +268,30 @@ def matches(items: DataFrame, s: MatchSettings) -> DataFrame:
 
     Where no pixel is masked and every item is regular, cells in numpy decide (``cells``); else the columns do.
     """
-    if not s.ignore_black and not s.ignore_white and dict(items.dtypes)["id"] in ("bigint", "int") and (not s.flipped or not (s.combine or s.use_phash) or "ph_flip" in items.columns):
-        known = items.filter(F.col("id").isNotNull() & F.col("is_image").isNotNull() & (F.col("is_image") | F.col("duration").isNotNull()))
-        fits = F.when(F.col("is_image"), cells.regular(s, True)).otherwise(cells.regular(s, False))
-        sizes = known.groupBy("is_image").agg(F.count_if(~fits).alias("odd"), F.countDistinct(F.size(F.get("frames", F.lit(0)))).alias("sizes")).collect()
-        if sizes and all(r.odd == 0 and r.sizes == 1 for r in sizes):
-            fine = 16
-            tolerance = K.duration_tolerance(F.col("duration"), s.tolerance_percent, s.tolerance_least, s.tolerance_most)
-            reach = fine * (2 if s.tolerance_percent > 0 and s.tolerance_least > 0 else 1) + 1
-            keys = folder_keys(F.col("folders"), s.folder_depth)
-            videos = cells.matches(known.filter(~F.col("is_image")), s, False, F.floor(scale(F.col("duration"), s) * fine).cast("long"), reach, tolerance, keys)
-            return videos.unionByName(cells.matches(known.filter("is_image"), s, True, F.lit(0).cast("long"), 0, F.lit(0.0), keys))
-    return judged(candidate_pairs(with_mirrored(items) if s.flipped and "frames_flip" not in items.columns else items, s), s)
+    found = _by_cells(items, s, cells.FOUND)
+    return found if found is not None else judged(candidate_pairs(_mirrored_too(items, s), s), s)
+
+
+def _mirrored_too(items: DataFrame, s: MatchSettings) -> DataFrame:
+    return with_mirrored(items) if s.flipped and "frames_flip" not in items.columns else items
+
+
+def _by_cells(items: DataFrame, s: MatchSettings, what: str) -> DataFrame | None:
+    """What cells return of all pairs of items; None where they can't decide."""
+    hashed = s.combine or s.use_phash or what == cells.EXPLAINED
+    if s.ignore_black or s.ignore_white or dict(items.dtypes)["id"] not in ("bigint", "int") or (s.flipped and hashed and "ph_flip" not in items.columns):
+        return None
+    known = items.filter(F.col("id").isNotNull() & F.col("is_image").isNotNull() & (F.col("is_image") | F.col("duration").isNotNull()))
+    fits = F.when(F.col("is_image"), cells.regular(s, True, what)).otherwise(cells.regular(s, False, what))
+    sizes = known.groupBy("is_image").agg(F.count_if(~fits).alias("odd"), F.countDistinct(F.size(F.get("frames", F.lit(0)))).alias("sizes")).collect()
+    if not sizes or any(r.odd or r.sizes != 1 for r in sizes):
+        return None
+    fine = 16
+    tolerance = K.duration_tolerance(F.col("duration"), s.tolerance_percent, s.tolerance_least, s.tolerance_most)
+    reach = fine * (2 if s.tolerance_percent > 0 and s.tolerance_least > 0 else 1) + 1
+    keys = folder_keys(F.col("folders"), s.folder_depth)
+    videos = cells.matches(known.filter(~F.col("is_image")), s, False, F.floor(scale(F.col("duration"), s) * fine).cast("long"), reach, tolerance, keys, what)
+    return videos.unionByName(cells.matches(known.filter("is_image"), s, True, F.lit(0).cast("long"), 0, F.lit(0.0), keys, what))
 
 
 def judged(pairs: DataFrame, s: MatchSettings) -> DataFrame:
@@ -324,7 +336,24 @@ def explain_pair(items: DataFrame, first: object, second: object, s: MatchSettin
     return explain(one(first, "a").join(F.broadcast(one(second, "b"))), s)
 
 
-def tally(found: DataFrame) -> DataFrame:
-    """(both, gray_only, phash_only): by what combined matches were found."""
+def tally(items: DataFrame, s: MatchSettings) -> DataFrame:
+    """(both, gray_only, phash_only): by what combined matches of items were found. Cells return their counts, not the matches."""
+    counted = _by_cells(items, s, cells.FLAGS)
+    counted = counted if counted is not None else matches(items, s).select("flags", F.lit(1).cast("long").alias("n"))
     f = F.col("flags").bitwiseAND(F.lit(K.GRAY_MATCHED | K.PHASH_MATCHED))
-    return found.agg(F.count_if(f == (K.GRAY_MATCHED | K.PHASH_MATCHED)).alias("both"), F.count_if(f == K.GRAY_MATCHED).alias("gray_only"), F.count_if(f == K.PHASH_MATCHED).alias("phash_only"))
+    total = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0).cast("long"))
+    return counted.agg(total(f == (K.GRAY_MATCHED | K.PHASH_MATCHED)).alias("both"), total(f == K.GRAY_MATCHED).alias("gray_only"), total(f == K.PHASH_MATCHED).alias("phash_only"))
+
+
+def diagnosed(items: DataFrame, s: MatchSettings) -> DataFrame:
+    """(a, b, duration_gap, folder_ok, hard_link, ai, normal, flipped, hash_distances, match, difference, flags): every candidate pair with what decides it, none filtered.
+
+    What ``explain`` says of the pairs that ``candidate_pairs`` makes, from cells where they can decide; ai is -1 and flipped false where the settings don't ask.
+    """
+    told = _by_cells(items, s, cells.EXPLAINED)
+    if told is not None:
+        return told
+    shown = explain(candidate_pairs(_mirrored_too(items, s), s), s)
+    ai = F.col("ai") if s.use_ai else _single(-1)
+    flipped = F.col("flipped.matches") if s.flipped else F.lit(False)
+    return shown.select("a", "b", F.col("duration_gap").cast("double").alias("duration_gap"), "folder_ok", "hard_link", ai.alias("ai"), F.col("normal.matches").alias("normal"), flipped.alias("flipped"), "hash_distances", "match", "difference", "flags")

@@ -105,7 +105,7 @@ _PAIRS = 'SELECT a, b, round(CAST(difference AS DOUBLE), 6) AS difference, CAST(
 
 
 def _found(spark, d, s):
-    return matching.matches(snapshots_of(spark, d), s).select("a", "b", F.round(F.col("difference").cast("double"), 6).alias("difference"), "flags")
+    return matching.matches(snapshots_of(spark, d), s).select("a", "b", K.round6(F.col("difference")).alias("difference"), "flags")
 
 
 @query(f"WITH {_verdicts(_GRAY)} {_PAIRS}")
@@ -125,7 +125,7 @@ def combined_verdict(spark, d):
 
 @query(f"WITH {_verdicts(_BOTH)} SELECT count(*) FILTER (flags & 24 = 24) AS \"both\", count(*) FILTER (flags & 24 = 8) AS gray_only, count(*) FILTER (flags & 24 = 16) AS phash_only FROM r WHERE match")
 def combined_tally(spark, d):
-    return matching.tally(matching.matches(snapshots_of(spark, d), _BOTH))
+    return matching.tally(snapshots_of(spark, d), _BOTH)
 
 
 @query(f"WITH {_ITEMS}, p AS (SELECT x.id AS a, y.id AS b, {_ai_sql()} FROM s x JOIN s y ON {_NEAR}) SELECT a, b, round(CAST(ai AS DOUBLE), 6) AS similarity FROM p")
@@ -143,8 +143,8 @@ def pair_verdict(spark, d):
 @query(f"""WITH {_verdicts(_ALL)} SELECT a, b, abs(da - db) AS duration_gap, same AS folder_ok, link AS hard_link, round(CAST(ai AS DOUBLE), 6) AS ai, nok AS normal, fok AS flipped,
 CASE WHEN image THEN [nb0] ELSE [nb0, nb1, nb2, nb3] END AS hash_distances, match AND same AND NOT link AS match FROM r""")
 def pair_diagnostic(spark, d):
-    shown = matching.explain(matching.candidate_pairs(matching.with_mirrored(snapshots_of(spark, d)), _ALL), _ALL)
-    return shown.select("a", "b", "duration_gap", "folder_ok", "hard_link", F.round(F.col("ai").cast("double"), 6).alias("ai"), F.col("normal.matches").alias("normal"), F.col("flipped.matches").alias("flipped"), "hash_distances", "match")
+    told = matching.diagnosed(snapshots_of(spark, d), _ALL)
+    return told.select("a", "b", "duration_gap", "folder_ok", "hard_link", K.round6(F.col("ai")).alias("ai"), "normal", "flipped", "hash_distances", "match")
 
 
 _NEAR_ONES = MatchSettings(percent=88, flipped=True, **_PLAIN)
