@@ -84,6 +84,7 @@ class _Cell:
         self.s, self.image, self.n, self.hashed, self.what, self.told = s, image, n, hashed, what, what == EXPLAINED
         rows = len(cell)
         self.ids, self.duration, self.tolerance, self.scoped, self.role = (cell[c].to_numpy() for c in ("id", "duration", "tolerance", "scoped", "role"))
+        self.rank = np.unique(self.ids, return_inverse=True)[1].astype(np.int32)
         px = np.frombuffer(b"".join(cell["px"].to_pylist()), np.uint8).reshape(rows, n, -1).astype(np.int16)
         self.pixels = px.shape[2]
         side = int(self.pixels**0.5)
@@ -160,12 +161,15 @@ class _Cell:
     def _tile(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray] | None:
         """The pairs of x and y that the task returns: those through the gates that some verdict may like are decided."""
         s = self.s
-        first = self.ids[x][:, None] < self.ids[y]
-        gate = (first | (self.ids[x][:, None] > self.ids[y])) & (self.scoped[x][:, None] | self.scoped[y])
+        gate = self.rank[x][:, None] != self.rank[y]
+        if not self.scoped.all():
+            gate &= self.scoped[x][:, None] | self.scoped[y]
         if (self.role[y] == BOTH).any():
             gate &= (self.role[y] != BOTH) | (x[:, None] < y)
         if not self.image:
-            gate &= np.abs(self.duration[x][:, None] - self.duration[y]) <= np.minimum(self.tolerance[x][:, None], self.tolerance[y])
+            ends, least = self.duration[[x[0], x[-1], y[0], y[-1]]], min(self.tolerance[x].min(), self.tolerance[y].min())
+            if not ends.max() - ends.min() <= least:  # else all of them are near
+                gate &= np.abs(self.duration[x][:, None] - self.duration[y]) <= np.minimum(self.tolerance[x][:, None], self.tolerance[y])
         if s.folder_mode != "none" and self.one_each and not self.told:
             gate &= (self.folder[x][:, None] == self.folder[y]) == (s.folder_mode == "same")
         if not gate.any():
@@ -176,10 +180,12 @@ class _Cell:
             if frames is not None:
                 at[name] = self._gaps(frames, x, y)
                 limit = (s.image_limit() if self.image else s.gray_limit()) * 256.0 * self.pixels * (1 + 1e-5) + 1
-                may |= sum(g.astype(np.int64) for g in at[name][1:]) + at[name][0] <= limit if len(at[name]) > 1 else at[name][0] <= limit
+                total = at[name][0] if len(at[name]) == 1 else sum(g.astype(np.int64) for g in at[name])
+                may |= total <= min(int(limit), np.iinfo(total.dtype).max)
         if self.hashed or self.told:
             at["b"] = [np.bitwise_count(h[x][:, None] ^ h[y]) for h in self.ph]
             if self.hashed and s.flipped:
+                first = self.rank[x][:, None] < self.rank[y]
                 at["fb"] = [np.bitwise_count(np.where(first, f[x][:, None] ^ h[y], h[x][:, None] ^ f[y])) for f, h in zip(self.ph_flip, self.ph, strict=True)]
             for name in ("b", "fb") if self.hashed else ():
                 if name in at:
@@ -189,7 +195,8 @@ class _Cell:
             may |= at["ai"][0] >= _single(s.ai_limit())
         pick = np.flatnonzero(gate if self.told else may & gate)
         i, j = np.divmod(pick, len(y))
-        p, q, first = x[i], y[j], first.ravel()[pick]
+        p, q = x[i], y[j]
+        first = self.rank[p] < self.rank[q]
         a, b = np.where(first, p, q), np.where(first, q, p)
         return self._decided(a, b, {c: [v.ravel()[pick] for v in each] for c, each in at.items()})
 
