@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool =
     fine = F.when(duration > 0, F.floor(F.log(duration) / step)).otherwise(F.lit(-(1 << 40))).cast("long")
     # as many rows as the logarithm of the longest duration by the step: few enough for the driver
     sizes = sorted(tuple(r) for r in items.groupBy(fine.alias("k")).agg(F.count("*").alias("n")).collect())
-    bands, cells = _cells(sizes, math.ceil(math.log1p(share) / step) + 1)
+    bands, cells = _cells(sizes, math.ceil(math.log1p(share) / step) + 1, *FRAMES)
     spark = items.sparkSession
     number = max((c for _, c, _ in cells), default=0) + 1
     bands = F.broadcast(spark.createDataFrame(bands, "k long, first int, parts int"))
@@ -60,14 +62,15 @@ def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool =
     rows = items.select("id", duration.alias("duration"), K.packed("px").alias("px"), scope.alias("scoped"), fine.alias("k")).join(bands, "k")
     rows = rows.withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(cells, "block").select("cell", "role", "block", "id", "duration", "px", "scoped")
     # a cell costs by its pairs: adaptive execution, which goes by bytes, must not merge them
-    parts = min(2048, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * number))
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("duration", ignore_index=True)
-        px = np.frombuffer(b"".join(cell["px"]), np.uint8).reshape(len(cell), -1)
-        ids, durations, scoped, role = (cell[c].to_numpy() for c in ("id", "duration", "scoped", "role"))
+    parts = min(2048, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * number))  # enough that few of them get two
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(batches))
+        order = np.argsort(cell["duration"].to_numpy(), kind="stable")
+        ids, durations, scoped, role = (cell[c].to_numpy()[order] for c in ("id", "duration", "scoped", "role"))
+        px = _stacked(cell["px"])[order]
+        del cell
         left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo in range(0, len(left), TILE):
             rows = left[lo : lo + TILE]
             # a little more than the gate lets through, which is applied to the pairs that are left
@@ -77,6 +80,7 @@ def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool =
                 continue
             one = px[rows].reshape(-1, K.SIDE, K.SIDE)[:, :, ::-1].reshape(len(rows), -1) if mirrored else px[rows]
             bound = _Bound(one, px, others, most, masked)
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for at in range(0, len(others), 2 * TILE):
                 some = others[at : at + 2 * TILE]
                 x, y = bound.left(px[some])
@@ -89,23 +93,39 @@ def frame_pairs(items: DataFrame, percent: float, most: float, mirrored: bool =
                     diff = _difference(one[u], px[w], masked)
                     good = np.flatnonzero(diff <= most)
                     out.append((np.minimum(ids[v[good]], ids[w[good]]), np.maximum(ids[v[good]], ids[w[good]]), diff[good]))
-        a, b, d = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
-        return pd.DataFrame({"a": a, "b": b, "diff": d}).astype({"a": "int64", "b": "int64", "diff": "float64"})
+            if out:
+                a, b, d = (np.concatenate([o[c] for o in out]) for c in range(3))
+                yield pa.RecordBatch.from_pydict({"a": a.astype(np.int64), "b": b.astype(np.int64), "diff": d.astype(np.float64)})
+
+    return rows.repartition(parts, "cell").groupBy("cell").applyInArrow(compare, "a long, b long, diff double")
+
 
-    return rows.repartition(parts, "cell").groupBy("cell").applyInPandas(compare, "a long, b long, diff double")
+def _stacked(frames: pa.ChunkedArray) -> np.ndarray:
+    """Frames of equal size, as bytes, as the rows of a matrix."""
+    parts = []
+    for c in frames.chunks:
+        if c.null_count:
+            raise ValueError("every item has a frame")
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        if len(set(np.diff(ends).tolist())) > 1:
+            raise ValueError("frames have equal sizes")
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(c), -1))
+    return np.concatenate(parts)
 
 
 #: Steps of a scale of durations into which a tolerance is cut; blocks that a table makes, rows of a block and of a cell's other side at most; rows of a tile.
 FINE, BLOCKS, MOST_ROWS, OTHER_ROWS, TILE = 16, 48, 12288, 32768, 2048
+#: The same three for frames, which weigh more than their pairs cost: larger blocks meet fewer others, so a frame is copied less often.
+FRAMES = 32, 24576, 65536
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
-def _cells(sizes: list[tuple[int, int]], reach: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def _cells(sizes: list[tuple[int, int]], reach: int, number: int = BLOCKS, most: int = MOST_ROWS, other: int = OTHER_ROWS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """((band, its first block, number of its blocks) ..., (block, cell, role) ...) of bands' sizes in order; bands at most ``reach`` apart meet.
 
     A cell has one block at its left and some that aren't before it at its right, itself among them in the first one (role BOTH).
     """
-    rows = min(MOST_ROWS, max(BLOCK, -(-sum(n for _, n in sizes) // BLOCKS)))
+    rows = min(most, max(BLOCK, -(-sum(n for _, n in sizes) // number)))
     bands: list[tuple[int, int, int]] = []
     blocks: list[list[int]] = []  # lowest and highest band, rows
     for k, n in sizes:
@@ -124,7 +144,7 @@ def _cells(sizes: list[tuple[int, int]], reach: int) -> tuple[list[tuple[int, in
         for j in range(i + 1, len(blocks)):
             if blocks[j][0] > high + reach:
                 break
-            if held + blocks[j][2] > OTHER_ROWS:
+            if held + blocks[j][2] > other:
                 cell, held = cell + 1, 0
                 cells.append((i, cell, LEFT))
             cells.append((j, cell, RIGHT))

@@ -384,6 +384,29 @@ def test_frames_are_shuffled_a_few_times_only():
     assert max(sum(rows[b] for b, c, _ in cells if c == cell) for cell in {c for _, c, _ in cells}) <= 2 * (pairs.OTHER_ROWS + pairs.MOST_ROWS)
 
 
+def test_blocks_of_frames_are_larger_than_those_of_items():
+    """A frame weighs more than its pairs cost: of as many rows, fewer copies; a task still holds a bounded number of frames, and no two bands that can meet miss each other."""
+    rng = np.random.default_rng(1)
+    bands, counts = np.unique(np.floor(rng.normal(600, 60, 500_000)).astype(int), return_counts=True)
+    sizes = list(zip(bands.tolist(), counts.tolist(), strict=True))
+    copies = []
+    for how in ((), pairs.FRAMES):
+        placed, cells = pairs._cells(sizes, 17, *how)
+        rows, of = {}, {}
+        for (k, first, parts), (_, n) in zip(placed, sizes, strict=True):
+            for p in range(parts):
+                rows[first + p] = rows.get(first + p, 0) + n / parts
+                of.setdefault(k, set()).add(first + p)
+        copies.append(sum(rows[b] for b, _, _ in cells))
+        assert max(sum(rows[b] for b, c, _ in cells if c == cell) for cell in {c for _, c, _ in cells}) <= pairs.FRAMES[1] + pairs.FRAMES[2]
+        held = {}
+        for b, c, role in cells:
+            held.setdefault(c, []).append((b, role))
+        met = {frozenset((x, y)) for each in held.values() for x, r in each if r != pairs.RIGHT for y, _ in each}
+        assert all(frozenset((x, y)) in met for k in of for h in range(k, k + 18) if h in of for x in of[k] for y in of[h] if x != y)
+    assert copies[1] < 0.75 * copies[0]
+
+
 # Partial matches
 
 
