@@ -20,6 +20,8 @@ from kindred.operators.pairs import BOTH, LEFT, RIGHT
 
 #: Rows of a tile, and of what they are compared with at once.
 TILE, OTHERS = 256, 2048
+#: A tile of which a bound on frames leaves more than this share of pairs is compared pixel by pixel as a whole.
+DENSE = 1 / 8
 #: Rows that leave a task at once; kinds of folders of a cell whose overlaps are kept in a table.
 AT_ONCE, MOST_KINDS = 1 << 16, 2048
 _single = np.float32
@@ -79,6 +81,12 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
+class _FewPixels(pairs._Bound):
+    """The bound of ``pairs.frame_pairs`` where pairs that pass it are compared for a few hundred pixels at most."""
+
+    EXACT, MOST = 150.0, 8
+
+
 class _Cell:
     def __init__(self, cell: pa.Table, s, image: bool, n: int, hashed: bool, what: str):
         self.s, self.image, self.n, self.hashed, self.what, self.told = s, image, n, hashed, what, what == EXPLAINED
@@ -94,6 +102,7 @@ class _Cell:
         # sums of frames whose size is a power of two are exact in single precision: one for all positions will do
         self.whole = self.pixels & (self.pixels - 1) == 0 and 255 * self.pixels * n < 1 << 24
         self.gray = image or s.combine or not s.use_phash
+        self.bounds = self._bounds(px.reshape(rows, -1)) if self.gray and not (hashed or s.use_ai or self.told) else None
         if hashed or self.told:
             self.ph, self.ph_flip = (_matrix(cell[c], rows).astype(np.int64).view(np.uint64) for c in ("ph", "ph_flip"))
             width = int(max(self.ph.max(), self.ph_flip.max())).bit_length()
@@ -112,6 +121,26 @@ class _Cell:
             files, self.file = self._codes([x if None not in x and x[2] else None for x in zip(*(cell[c].to_pylist() for c in ("size", "dev", "ino")), strict=True)])
             self.linked = np.array([x is not None for x in files])[self.file]
 
+    def _bounds(self, px: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Factors of the frames at the left, as they are and mirrored, and of those at the right: a product below 0 rules a pair out. None where no bound pays."""
+        s, out = self.s, []
+        left, right = np.flatnonzero(self.role != RIGHT), np.flatnonzero(self.role != LEFT)
+        if not len(left) or not len(right):
+            return None
+        # limits are sums of single-precision means over the positions: a little more is let through
+        most = (s.image_limit() if self.image else s.gray_limit() / self.n) * (1 + 1e-5) + 1 / 256 / px.shape[1]
+        flat = px.astype(np.uint8)
+        for frames in (flat, None if self.mirror is None else np.ascontiguousarray(self.mirror.T).astype(np.uint8)):
+            if frames is None:
+                continue
+            bound = _FewPixels(frames[left], flat, right, most, False)
+            if bound.all:
+                return None
+            x, y = (np.zeros((len(px), bound.one.shape[1]), np.float32) for _ in range(2))
+            x[left], y[right] = bound.one, bound._factors(flat[right], bound.r, bound.stride, other=True)[0]
+            out.append((x, y))
+        return out
+
     @staticmethod
     def _codes(values: list) -> tuple[list, np.ndarray]:
         known: dict = {}
@@ -176,7 +205,12 @@ class _Cell:
             return None
         at: dict[str, list[np.ndarray]] = {}
         may = np.zeros(gate.shape, bool)
-        for name, frames in (("d", self.px), ("fd", self.mirror)) if self.gray else ():
+        for one, other in self.bounds or ():
+            may |= one[x] @ other[y].T >= 0
+        sparse = self.bounds is not None and may.mean() <= DENSE
+        if sparse:
+            may &= gate
+        for name, frames in (("d", self.px), ("fd", self.mirror)) if self.gray and not sparse else ():
             if frames is not None:
                 at[name] = self._gaps(frames, x, y)
                 limit = (s.image_limit() if self.image else s.gray_limit()) * 256.0 * self.pixels * (1 + 1e-5) + 1
@@ -198,7 +232,10 @@ class _Cell:
         p, q = x[i], y[j]
         first = self.rank[p] < self.rank[q]
         a, b = np.where(first, p, q), np.where(first, q, p)
-        return self._decided(a, b, {c: [v.ravel()[pick] for v in each] for c, each in at.items()})
+        of = {c: [v.ravel()[pick] for v in each] for c, each in at.items()}
+        if sparse:
+            of |= {name: self._gaps_of(frames, p, q) for name, frames in (("d", self.px), ("fd", self.mirror)) if frames is not None}
+        return self._decided(a, b, of)
 
     def _gaps(self, frames: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """The summed differences of all pixels, pixel by pixel over the tile; where sums are rounded, those of each position."""
@@ -215,6 +252,16 @@ class _Cell:
             out.append(total)
         return out
 
+    def _gaps_of(self, frames: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+        """``_gaps`` of some pairs."""
+        size = len(frames) if self.whole else self.pixels
+        out = [np.zeros(len(p), np.int32) for _ in range(len(frames) // size)]
+        for lo in range(0, len(p), AT_ONCE):
+            gap = np.abs(frames[:, p[lo : lo + AT_ONCE]] - self.px[:, q[lo : lo + AT_ONCE]])
+            for k, total in enumerate(out):
+                total[lo : lo + AT_ONCE] = gap[k * size : (k + 1) * size].sum(axis=0, dtype=np.int32)
+        return out
+
     def _need(self) -> int:
         return max(1, int(np.ceil(_single(self.n * _single(min(max(self.s.quorum, 0.01), 1.0))))))
 

@@ -173,6 +173,8 @@ class _Bound:
 
     #: Pairs below which all are compared; rows of a sample; nanoseconds of a factor in the product, of a comparison, and of a masked one.
     FEW, SAMPLE, COST, EXACT, EXACT_MASKED = 1 << 15, 128, 0.022, 700.0, 2500.0
+    #: Directions at most.
+    MOST = 4
 
     def __init__(self, one: np.ndarray, px: np.ndarray, others: np.ndarray, most: float, masked: bool):
         self.all = len(one) * len(others) < self.FEW
@@ -201,7 +203,7 @@ class _Bound:
         self.one = None if self.all else self._factors(one, self.r, self.stride)[0]
 
     def _directions(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Up to four rows: what each pixel value is along the directions in which pairs differ most."""
+        """MOST rows: what each pixel value is along the directions in which pairs differ most."""
         ok = (self.use[x] * self.use[y]).ravel() > 0
         lo, hi = np.minimum(x, y).ravel()[ok].astype(np.int64), np.maximum(x, y).ravel()[ok]
         count = np.bincount(lo * 256 + hi, minlength=65536).reshape(256, 256).astype(np.float64)
@@ -209,8 +211,8 @@ class _Bound:
         within = np.cumsum(count, axis=0)[:-1][:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
         t = np.arange(255)
         both = within[np.minimum(t[:, None], t), np.maximum(t[:, None], t)]
-        vectors = np.linalg.eigh(both)[1][:, ::-1][:, :4]
-        along = np.vstack([np.zeros(4), np.cumsum(vectors, axis=0)]).T
+        vectors = np.linalg.eigh(both)[1][:, ::-1][:, : self.MOST]
+        along = np.vstack([np.zeros(self.MOST), np.cumsum(vectors, axis=0)]).T
         seen = np.bincount(np.concatenate([x.ravel(), y.ravel()]), minlength=256) * self.use
         return (along - (along * seen).sum(axis=1, keepdims=True) / max(seen.sum(), 1)).astype(np.float32)
 

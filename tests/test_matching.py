@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,56 @@ def test_edges_of_groups_are_found_once(spark):
     assert {(r.group_id, r.idx) for r in got} == {(0, i) for i in range(4)} and seen.value == 3
 
 
+def test_large_components_are_folded(spark, monkeypatch):
+    """A chain of more members than a group may have to be split: its links are one component, but the first item doesn't like the third."""
+    monkeypatch.setattr(building, "MOST_MEMBERS", 3)
+    df = spark.createDataFrame([item(i, [fill(9 + 20 * i, 16)]) for i in range(6)], SCHEMA).withColumn("ph_flip", F.col("ph"))
+    s = MatchSettings(percent=91, **PLAIN)
+    got = {(r.group_id, r.idx, r.is_rep) for r in building.matched_groups(matching.matches(df, s), df, s).collect()}
+    assert got == {(0, 0, True), (0, 1, False), (2, 2, True), (2, 3, False), (4, 4, True), (4, 5, False)}
+
+
+@pytest.mark.parametrize("more", [{}, {"flipped": False, "percent": 80}, {"use_phash": True}, {"combine": True, "quorum": 0.75}, {"use_ai": True, "ai_percent": 30}, {"ignore_black": True, "ignore_white": True}])
+def test_rows_of_verdicts_are_those_of_pairs(more):
+    rng = np.random.default_rng(8)
+    n, s = 60, MatchSettings(**({"positions": 2, "percent": 84, "flipped": True, "ignore_black": False, "ignore_white": False} | more))
+    base = rng.integers(0, 256, (6, 2, 16))
+    frames = [np.clip(base[rng.integers(6)] + rng.integers(-60, 61, (2, 16)), 0, 255) for _ in range(n)]
+    frames = [f.reshape(2, 4, 4)[:, :, ::-1].reshape(2, 16) if rng.random() < 0.3 else f for f in frames]
+    image = rng.random(n) < 0.4
+    cut = lambda values: [v[: 1 if k else 2].tolist() for v, k in zip(values, image)]
+    members = pd.DataFrame({"id": rng.permutation(n) * 7, "is_image": image, "frames": cut(frames), "emb": cut(rng.integers(-127, 128, (n, 2, 4))), "emb_valid": cut(rng.random((n, 2)) < 0.8)})
+    members["ph"], members["ph_flip"] = cut(rng.integers(0, 1 << 10, (n, 2))), cut(rng.integers(0, 1 << 10, (n, 2)))
+    snaps = building.Snapshots(members, s)
+    want = np.array([[snaps._similar(x, y) for y in range(n)] for x in range(n)])
+    assert np.array_equal(np.array([snaps.row(x) for x in range(n)]), want) and want.sum() > n
+    assert np.array_equal(snaps.row(3, np.arange(10, 30)), want[3, 10:30])
+    # items in another form are taken one by one
+    members.at[0, "frames"] = members.at[0, "frames"] * 2 if image[0] else members.at[0, "frames"]
+    odd = building.Snapshots(members, s)
+    assert np.array_equal(np.array([odd.row(x) for x in range(n)]), want)
+
+
+@pytest.mark.parametrize("image,flipped", [(True, True), (False, True), (False, False)])
+def test_bound_leaves_few_pairs_and_loses_none(monkeypatch, image, flipped):
+    rng = np.random.default_rng(2)
+    n, positions = 700, 1 if image else 4
+    px = np.clip(rng.normal(128, 50, (n, positions, 16)), 0, 255).astype(np.uint8)
+    px[::9] = np.clip(px[3::9][: len(px[::9])].astype(int) + rng.integers(-40, 41, px[::9].shape), 0, 255)
+    px[::18] = px[::18].reshape(-1, positions, 4, 4)[..., ::-1].reshape(-1, positions, 16)
+    s = MatchSettings(positions=4, percent=88, ignore_black=False, ignore_white=False, flipped=flipped)
+    table = pa.table({"id": range(n), "duration": [10.0] * n, "tolerance": [2.0] * n, "scoped": [True] * n, "role": [cells.BOTH] * n, "px": [x.tobytes() for x in px], "pixels": [16] * n})
+    rows = lambda: sorted((r["a"], r["b"], r["difference"], r["flags"]) for b in cells._Cell(table, s, image, positions, False, cells.FOUND).batches() for r in b.to_pylist())
+    compared = []
+    whole, some = cells._Cell._gaps, cells._Cell._gaps_of
+    monkeypatch.setattr(cells._Cell, "_gaps", lambda self, f, x, y: (compared.append(len(x) * len(y)), whole(self, f, x, y))[1])
+    monkeypatch.setattr(cells._Cell, "_gaps_of", lambda self, f, p, q: (compared.append(len(p)), some(self, f, p, q))[1])
+    got, few = rows(), sum(compared)
+    monkeypatch.setattr(cells._Cell, "_bounds", lambda self, px: None)
+    compared.clear()
+    assert rows() == got and len(got) > 20 and few < sum(compared) / 8
+
+
 def test_explanation_agrees_with_matches(spark):
     rows = [item(1, [fill(5)], folders=["a"]), item(2, [fill(6)], folders=["a"]), item(3, [fill(200)], image=True, duration=0.0), item(4, [], folders=["a"])]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ph_flip", F.col("ph"))
