@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-from kindred.operators import scope
+from pyspark.sql import functions as F
+
+from kindred.operators import pairs, partials, scope
 from kindred.plans import catalogue
 from tests.oracle import duck_rows
 
@@ -114,6 +116,23 @@ def test_audio_partials_of_whole_texts(spark, tmp_path):
     assert got == expected and {(1, 2), (1, 3), (5, 2)} <= {g[:2] for g in got}
 
 
+def test_fingerprints_are_shuffled_for_blocks_not_for_pairs(spark, monkeypatch):
+    """Forty copies make a thousand pairs; several blocks of them meet, give what the pairs alone give, and no join carries fingerprints."""
+    rng = random.Random(3)
+    long = [rng.getrandbits(32) for _ in range(400)]
+    rows = [(i, [x if rng.random() < 0.9 else rng.getrandbits(32) for x in long[: 400 - 9 * i]], i % 2) for i in range(40)]
+    items = spark.createDataFrame(rows, "id long, fp array<long>, folder int").withColumn("clip_ok", F.lit(True))
+    monkeypatch.setattr(partials, "LEAST_WORDS", 1500)
+    for key in (["folder"], None):
+        found = partials.audio_candidates(items, 0.1, key=key)
+        both = found.join(items.select(F.col("id").alias("source"), F.col("fp").alias("long_fp")), "source").join(items.select(F.col("id").alias("clip"), F.col("fp").alias("short_fp")), "clip")
+        expected = sorted(map(tuple, pairs.sliding_window(both, 0.8).filter("similarity > 0").collect()))
+        df = partials.audio_partials(items, 0.1, 0.8, key)
+        assert sorted(map(tuple, df.collect())) == expected and len(expected) > 100
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "long_fp" not in plan
+
+
 def test_phash_quorum_against_all_pairs(spark):
     import numpy as np
 
