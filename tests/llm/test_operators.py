@@ -451,6 +451,28 @@ def test_staged_tables_go_when_they_are_read(spark, odd_docs):
     assert left <= {"signed", "found", "losses", "marks"}
 
 
+def test_id_filters_reach_the_driver_in_a_few_jobs(spark):
+    """However many partitions the shuffle has, and every bit is there."""
+    from kindred.llm._shared import filter_bits, id_filter, passes
+
+    ids = spark.range(0, 30_000, 7, numPartitions=5)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("id_filter", "")
+        bitmap = id_filter(ids, "id", 4286)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("id_filter")) <= 4
+    bits = filter_bits(4286)
+    own = np.array([r[0] for r in ids.select(F.pmod(F.xxhash64("id"), F.lit(bits))).collect()])
+    assert len(own) == 4286 and len(bitmap) == bits // 8 and passes(bitmap, own).all()
+    assert int(np.bitwise_count(bitmap).sum()) == len(set(own.tolist()))
+
+
 def _spark_hash(*values):
     """Spark's xxhash64 of longs and (as bytes of four) ints: each value's hash seeds the next."""
     import xxhash
