@@ -75,8 +75,11 @@ class Snapshots:
             return False
         return self._classic(x, y, False) or (self.s.use_ai and self._by_ai(x, y)) or (self.s.flipped and self._classic(x, y, True))
 
-    def row(self, x: int, others: np.ndarray | None = None) -> np.ndarray:
-        """``similar`` of the item at place x to those at others, or to all: at once, where the items of its kind have equally many positions and pixels."""
+    def row(self, x: int, others: np.ndarray | None = None, first: bool = True) -> np.ndarray:
+        """``similar`` of the item at place x to those at others, or to all: at once, where the items of its kind have equally many positions and pixels.
+
+        Not ``first``, the others' to x: hashes of mirror images needn't agree with those that the mirrored other way round give.
+        """
         others = np.arange(len(self.image)) if others is None else others
         out = np.zeros(len(others), bool)
         same = np.flatnonzero(self.image[others] == self.image[x])
@@ -84,10 +87,10 @@ class Snapshots:
         if kind not in self._kinds:
             self._kinds[kind] = self._stacked(kind)
         if self._kinds[kind] is None:
-            out[same] = [self._similar(x, y) for y in others[same]]
+            out[same] = [self._similar(x, y) if first else self._similar(y, x) for y in others[same]]
         else:
             at, arrays = self._kinds[kind]
-            out[same] = self._like(arrays, kind, int(at[x]), at[others[same]])
+            out[same] = self._like(arrays, kind, int(at[x]), at[others[same]], first)
         return out
 
     def _stacked(self, image: bool) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
@@ -130,7 +133,7 @@ class Snapshots:
         n = use.sum(axis=0)
         return np.where(n > 0, (gap * use).sum(axis=0, dtype=np.int64) / np.maximum(n, 1) / 256.0, np.nan).astype(np.float32)
 
-    def _like(self, arrays: dict[str, np.ndarray], image: bool, x: int, y: np.ndarray) -> np.ndarray:
+    def _like(self, arrays: dict[str, np.ndarray], image: bool, x: int, y: np.ndarray, first: bool) -> np.ndarray:
         s, out = self.s, np.zeros(len(y), bool)
         others = arrays["frames"][:, :, y] if "frames" in arrays else None
         for frames, hashes in (("frames", "hashes"), ("flipped", "flipped_hashes")) if s.flipped else (("frames", "hashes"),):
@@ -141,7 +144,8 @@ class Snapshots:
                     total = total + self._differences(one[j], others[j])
                 out |= total <= np.float32(s.image_limit() if image else s.gray_limit())
             if "hashes" in arrays:
-                near = np.bitwise_count((arrays[hashes][x] ^ arrays["hashes"][y]).view(np.uint64)) <= s.max_bits()
+                one, other = (hashes, "hashes") if first else ("hashes", hashes)
+                near = np.bitwise_count((arrays[one][x] ^ arrays[other][y]).view(np.uint64)) <= s.max_bits()
                 n = near.shape[1]
                 out |= near.sum(axis=1) >= max(1, int(np.ceil(np.float32(n * np.float32(min(max(s.quorum, 0.01), 1.0))))))
         if s.use_ai:
@@ -175,7 +179,7 @@ class _Rows:
 
 #: Edges that are replayed at once.
 EDGES = 1 << 16
-#: Members of a group whose pairs fit the domain's budget, a byte for each; larger groups aren't split.
+#: Members of a group whose links are all held while it is split; of larger groups as much is held, the rest is found again.
 MOST_MEMBERS = 32_768
 
 
@@ -185,7 +189,7 @@ def matched_groups(edges: DataFrame, items: DataFrame, s: MatchSettings) -> Data
     Each component is replayed in the order of (a, b): a new pair founds a group led by its first item; items join and groups merge
     only if the verdict likes the representatives. Groups of three or more are then split by majority pruning over the verdicts of all
     their pairs, in the order in which members came. A group's id is its smallest member.
-    A group of more than MOST_MEMBERS isn't split; components may have any size.
+    Groups and components may have any size.
     """
     wanted = ["id", "is_image", "frames", "ph", "emb", "emb_valid"] + (["ph_flip"] if "ph_flip" in items.columns else [])
 
@@ -205,12 +209,10 @@ def matched_groups(edges: DataFrame, items: DataFrame, s: MatchSettings) -> Data
         out = []
         for group in found.values():
             parts = [list(range(len(group)))]
-            if 2 < len(group) <= MOST_MEMBERS:
-                places = np.array([m[0] for m in group])
-                links = np.zeros((len(group), len(group)), bool)
-                for p in range(len(group) - 1):
-                    links[p, p + 1 :] = links[p + 1 :, p] = snaps.row(places[p], places[p + 1 :])
-                parts = grouping.split_matrix(links)
+            if len(group) > 2:
+                at = np.array([m[0] for m in group])
+                links = grouping.Links(len(at), lambda k: snaps.row(at[k], at[k + 1 :]), lambda k, low: snaps.row(at[k], at[low:k], first=False), MOST_MEMBERS)  # noqa: B023
+                parts = grouping.split_links(links.degree, links.row, MOST_MEMBERS)
             names = [int(ids[m[0]]) for m in group]
             out += [(min(names[k] for k in part), names[k], *group[k][1:]) for part in parts for k in part]
         return pd.DataFrame(out, columns=["group_id", "idx", "difference", "flags", "is_rep"]).astype({"group_id": "int64", "idx": "int64", "difference": "float64", "flags": "int32", "is_rep": "bool"})

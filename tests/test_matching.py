@@ -534,3 +534,23 @@ def test_components_of_any_size_are_split(spark, monkeypatch):
     expected = {(min(g), x) for part in (range(40), range(100, 105)) for g in grouping.split_group(list(part), similar) for x in g}
     assert {(r.group_id, r.idx) for r in grouping.daisy_split(edges, items, 0.1).collect()} == expected
     assert len({g for g, _ in expected}) > 2 and (100, 104) in expected
+
+
+@pytest.mark.parametrize("more", [{}, {"use_phash": True}])
+def test_groups_of_any_size_are_split(spark, monkeypatch, more):
+    """Twelve items that their first likes: with links for three held, split like a group whose links are all at hand."""
+    s = MatchSettings(**({"percent": 91, "flipped": True, "ignore_black": False, "ignore_white": False} | more))
+    rng = np.random.default_rng(4)
+    rows = [item(0, [fill(100, 16)], ph=[0])] + [item(k, [fill(100 + 20 * (-1) ** k + int(rng.integers(-2, 3)), 16)], ph=[int(rng.integers(32)) << 4 * (k % 3)]) for k in range(1, 12)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ph_flip", F.col("ph").cast("array<long>") if not more else F.transform("ph", lambda h: F.shiftright(h, 1)))
+    edges = spark.createDataFrame([(0, k, 0.0, 0) for k in range(1, 12)], "a long, b long, difference float, flags int")
+    snaps = building.Snapshots(df.toPandas(), s)
+    group = [m[1] for m in grouping.replay_edges([(0, k, 0.0, 0) for k in range(1, 12)], snaps.similar)]
+    matrix = np.array([[x != y and snaps.similar(min(x, y), max(x, y)) for y in group] for x in group])
+    expected = {(min(group[k] for k in part), group[k]) for part in grouping.split_matrix(matrix) for k in part}
+    for most in (3, 32_768):
+        monkeypatch.setattr(building, "MOST_MEMBERS", most)
+        assert {(r.group_id, r.idx) for r in building.matched_groups(edges, df, s).collect()} == expected
+    assert expected != {(0, k) for k in group} and len(group) > 8
+    rows = np.array([snaps.row(x, first=False) for x in range(12)])
+    assert (rows == np.array([[snaps._similar(y, x) for y in range(12)] for x in range(12)])).all()
