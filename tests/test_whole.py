@@ -156,3 +156,62 @@ def test_phash_quorum_against_all_pairs(spark):
                 expected.append((a, b, round(sum(gaps) / 192, 6)))
     got = sorted((a, b, round(d, 5)) for a, b, d in catalogue.QUERIES["phash_quorum"](spark, FOLDER).collect())
     assert got == sorted((a, b, round(d, 5)) for a, b, d in expected) and got
+
+
+def _against_all_pairs(spark, rows, least):
+    """audio_partials of rows (id, fp) against best offsets of all pairs, word by word."""
+    items = spark.createDataFrame(rows, "id long, fp array<long>").withColumn("clip_ok", F.col("id") != 3)
+    expected = []
+    for i, a in rows:
+        for j, b in rows:
+            if j != 3 and len(a) * 0.1 <= len(b) < len(a) * 0.95 and any(a) and any(b):
+                sims = [sum(32 - (x ^ y).bit_count() for x, y in zip(a[o:], b)) / (32 * len(b)) for o in range(len(a) - len(b) + 1)]
+                if max(sims) >= least and max(sims) > 0:
+                    expected.append((i, j, max(sims), sims.index(max(sims))))
+    assert sorted(map(tuple, partials.audio_partials(items, 0.1, least).collect())) == sorted(expected)
+    return {e[:2] for e in expected}
+
+
+def test_clips_without_a_run_of_equal_seconds_are_found(spark):
+    """Every third second differs, or each in a few bits: no four equal seconds in a row, and still alike; clips of one second, too."""
+    rng = random.Random(8)
+    long = [rng.getrandbits(32) for _ in range(300)]
+    third = [x if k % 3 else rng.getrandbits(32) for k, x in enumerate(long[40:160])]
+    bits = [x ^ sum(1 << b for b in rng.sample(range(32), 5)) for x in long[100:190]]
+    rows = [(1, long), (2, third), (3, long[:100]), (4, bits), (5, long[7:12]), (6, long[9:10]), (7, [0] * 50), (8, [rng.getrandbits(32) for _ in range(70)])]
+    assert {(1, 2), (1, 4), (5, 6)} <= _against_all_pairs(spark, rows, 0.8)
+    _against_all_pairs(spark, rows, 0.45)
+
+
+def test_clips_with_many_common_runs_keep_all_partners(spark):
+    """The rarest runs of the clip are in other items than its source, which shares the commonest ones only."""
+    rng = random.Random(6)
+    word = lambda: rng.getrandbits(32)
+    common, rare = [word() for _ in range(62)], [word() for _ in range(35)]
+    clip, source = common + rare, [word() for _ in range(6)] + common + [word() for _ in range(60)]
+    rows = [(1, source), (2, clip)] + [(10 + k, common + [word()]) for k in range(12)] + [(30 + k, rare + [word()]) for k in range(4)]
+    assert (1, 2) in _against_all_pairs(spark, rows, 0.8)
+
+
+def test_bound_of_alignments_loses_none():
+    """Random, near and periodic fingerprints of all lengths, with bits as unlike as allowed and in single bits only, at several similarities."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    word = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    longs = [word(n) for n in (1, 2, 9, 40, 131, 400, 900)] + [np.tile(word(3), 60), np.zeros(100, np.uint32), word(200) & 0xFFFF]
+    shorts = []
+    for x in longs:
+        for share in (0.1, 0.3, 0.7, 0.9):
+            n = max(1, int(len(x) * share))
+            o = rng.integers(len(x) - n + 1)
+            for flips in (0, 6, 7, 12):
+                noise = np.array([sum(1 << int(b) for b in rng.choice(32, flips, False)) for _ in range(n)], np.uint32)
+                shorts.append(x[o : o + n] ^ noise)
+            shorts.append(x[o : o + n] ^ np.uint32(0x3F))
+    for least in (0.3, 0.55, 0.8, 0.8125, 0.95, 1.0):
+        left = [p for x, y in pairs.may_align(longs, shorts, 0.1, 0.95, least) for p in zip(x.tolist(), y.tolist())]
+        gate = {(a, b) for a, x in enumerate(longs) for b, y in enumerate(shorts) if 0.1 * len(x) <= len(y) < 0.95 * len(x)}
+        alike = {(a, b) for a, b in gate if pairs.best_offset(longs[a], shorts[b], least)[0] > 0}
+        assert len(set(left)) == len(left) and alike <= set(left) <= gate and alike
+        assert least < 0.8 or len(left) < len(alike) + 0.2 * len(gate)
